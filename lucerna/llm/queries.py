@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lucerna.llm import canonical, capping, encoding, near_copies, packing, sampling
+from lucerna.llm import canonical, capping, encoding, languages, licenses, near_copies, packing, residue, sampling
 
 
 def _t(spark, d, name):
@@ -15,6 +15,10 @@ def queries():
         "p1_unmatched": lambda s, d: canonical.unmatched_report(_t(s, d, "shader_records"), _t(s, d, "topic_list")),
         "p2_found": lambda s, d: capping.found(_t(s, d, "shader_records")),
         "p2_shares": lambda s, d: capping.shares(_t(s, d, "shader_records")),
+        "p3_found": lambda s, d: licenses.found(_t(s, d, "shader_records"), _t(s, d, "parent_docs"), _t(s, d, "repo_files"), _t(s, d, "license_list")),
+        "p3_findings": lambda s, d: licenses.findings(_t(s, d, "shader_records"), _t(s, d, "parent_docs"), _t(s, d, "repo_files"), _t(s, d, "license_list")),
+        "p4_found": lambda s, d: languages.found(_t(s, d, "shader_records"), _t(s, d, "documents")),
+        "p4_shares": lambda s, d: languages.shares(_t(s, d, "shader_records"), _t(s, d, "documents")),
         "p5_found": lambda s, d: near_copies.found(_t(s, d, "shader_records")),
         "p5_membership": lambda s, d: near_copies.membership(_t(s, d, "shader_records")),
         "p6_found": lambda s, d: sampling.found(_t(s, d, "shader_records"), _t(s, d, "topic_list"), _t(s, d, "sample_targets")),
@@ -24,6 +28,8 @@ def queries():
         "p7_round_trip": lambda s, d: encoding.round_trip(_t(s, d, "documents")),
         "p8_found": lambda s, d: packing.found(_t(s, d, "documents")),
         "p8_containers": lambda s, d: packing.containers(_t(s, d, "documents")),
+        "p9_found": lambda s, d: residue.found(_t(s, d, "documents")),
+        "p9_clean": lambda s, d: residue.clean(_t(s, d, "documents")),
         "p8_waste": lambda s, d: packing.waste(_t(s, d, "documents")),
     }
 
