@@ -94,7 +94,8 @@ def file_sentences(records: DataFrame) -> DataFrame:
                 for passage in passages(code):
                     own.update(sentences(passage))
                 rows += [(sid, row, len(code), hashlib.md5(s.encode("utf-8", "replace")).digest(), n * len(s), s) for s, n in own.items()]
-            yield pd.DataFrame(rows, columns=["shader_id", "row_id", "n_chars", "hash", "chars", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["shader_id", "row_id", "n_chars", "hash", "chars", "text"])
 
     coded = records.filter(F.col("shader_id").isNotNull() & (F.length("code_image") > 0)).select("shader_id", "row_id", "code_image")
     return spread(coded).mapInPandas(scan, "shader_id string, row_id long, n_chars int, hash binary, chars int, text string")
@@ -113,7 +114,8 @@ def train(documents: DataFrame, most: int = GRAMS) -> dict:
             for lang, text in zip(batch["lang"], batch["text"]):
                 for line in re.split(r"[\r\n]+", text):
                     seen.update((lang, s) for s in sentences(line.split(": ", 1)[-1]))
-            yield pd.DataFrame({"lang": [k[0] for k in seen], "text": [k[1] for k in seen], "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"lang": [k[0] for k in seen], "text": [k[1] for k in seen], "n": list(seen.values())})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,7 +123,8 @@ def train(documents: DataFrame, most: int = GRAMS) -> dict:
             for lang, text, n in zip(batch["lang"], batch["text"], batch["n"]):
                 for g in grams(text):
                     seen[lang, g] += n
-            yield pd.DataFrame({"lang": [k[0] for k in seen], "gram": [k[1] for k in seen], "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"lang": [k[0] for k in seen], "gram": [k[1] for k in seen], "n": list(seen.values())})
 
     labelled = documents.select(F.lower(F.trim("lang")).alias("lang"), "text").filter(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
     prose = labelled.mapInPandas(cut, "lang string, text string, n long").groupBy("lang", "text").agg(F.sum("n").alias("n"))

@@ -24,7 +24,10 @@ from lucerna.llm.languages import END, MARK
 from lucerna.plans.runtime import materialize, salted_join, spread
 
 NONE = "none"
-TOKEN = re.compile(r"[^\W\d_]+|\d+")
+#: Words and numbers; letters and digits are apart only in what may be a license's short name, not in names of people.
+TOKEN = re.compile(r"(?<![^\W_])(?:l?gpl|mpl|apache|bsd|cc|asl)(?:v(?=\d))?(?=\d)|(?<=[a-z])\d+(?![^\W\d_])|[^\W\d_](?:[^\W_])*|\d+")
+#: Token that stands for people's names in the templates, and for every run of words no template has.
+SOMEONE = "name"
 #: Further names of the licenses of the list, as people write them.
 NAMES = {
     "mit": ["the MIT license", "The MIT Licence", "MIT license", "MIT-style terms (MIT)", "Expat license", "MIT/X11", "MIT terms"],
@@ -79,11 +82,11 @@ SILENT = (
     "permit small overshoot, limit is soft", "Ask before you reuse anything.", "Copyright (c) Y A", "Copyright (c) Y A.", "(c) A Y", "Copyright Y A.", "Created by A in Y", "by A Y", "The files of this collection may be used under these terms only.",
     "License", "Terms", "LICENSE", "license", "terms of use", "No warranty of any kind.", "It comes as is, without any promise.", "You may use, change and pass on this work as long as this notice stays with it.",
     "Which license applies here?", "license header missing", "license still open", "waiting for permission of A", "Lizenz: offen", "Licence : à définir", "Licencia: por decidir", "Licenza: da decidere", "Лицензия: не решено", "许可证：待定", "ライセンス: 未定",
-    "the mirror keeps the limit in place", "submit the permit", "the public sees this at the show", "ask for permission first",
+    "Mit vielen Beispielen.", "mit der Zeit wird es heller", "Mit Licht und Schatten", "nicht mit dem Rand", "the mirror keeps the limit in place", "submit the permit", "the public sees this at the show", "ask for permission first",
 )
 #: What must be in a text for a label to hold; a label without it is rejected.
 PROOF = {
-    "mit": r"\b(?:mit|expat)\b", "apache-2.0": r"\b(?:apache|asl)\b", "gpl-2.0": r"(?<!l)(?:\bgpl|general public).{0,14}2(?!\.1)", "gpl-3.0": r"(?<!l)(?:\bgpl|general public).{0,14}3",
+    "mit": r"\b(?:mit|expat)\b(?! (?:de[rmns]|dies\w+|ein\w*|viel\w*|kein\w*|mehr|etwas)\b)", "apache-2.0": r"\b(?:apache|asl)\b", "gpl-2.0": r"(?:\bgpl|general public).{0,24}2(?!\.1)", "gpl-3.0": r"(?:\bgpl|general public).{0,24}3",
     "lgpl-2.1": r"lgpl|lesser", "bsd-2-clause": r"(?=.*\bbsd)(?=.*(?:2|two|simplified|freebsd))", "bsd-3-clause": r"(?=.*\bbsd)(?=.*(?:3|three|new|modified|revised))", "mpl-2.0": r"\bmpl|mozilla",
     "zlib": r"\bzlib", "cc0-1.0": r"\bcc ?-?0|\bzero\b|\bcczero", "cc-by-4.0": r"\bby\b|attribution", "cc-by-sa-4.0": r"\bsa\b|share", "cc-by-nc-4.0": r"\bnc\b|non-? ?commercial",
     "cc-by-nc-sa-3.0": r"(?=.*(?:\bnc\b|non-? ?commercial))(?=.*(?:\bsa\b|share))", "public-domain": r"public|\bpd\b|gemeinfrei|domin|domaine|domen|достояни|公有|パブリック",
@@ -102,9 +105,14 @@ def tokens(text: str) -> list[str]:
     return ["yyyy" if re.fullmatch(r"(?:19|20)\d\d", t) else t for t in TOKEN.findall(text.lower())]
 
 
-def grams(text: str) -> list[str]:
-    """Word n-grams of 1 to 3 words with the text's edges."""
-    words = ["<", *tokens(text), ">"]
+def grams(text: str, known: frozenset[str] | None = None) -> list[str]:
+    """Word n-grams of 1 to 3 words with the text's edges; a run of words not in ``known`` counts as a name."""
+    words = ["<"]
+    for t in tokens(text):
+        t = t if known is None or t in known else SOMEONE
+        if t != SOMEONE or words[-1] != SOMEONE:
+            words.append(t)
+    words.append(">")
     return [" ".join(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)]
 
 
@@ -161,29 +169,26 @@ def body_statements(body: str) -> set[str]:
 
 
 def training_rows(licenses: list[tuple[str, str, list[str]]]) -> list[tuple[str, str]]:
-    """(label, text): the bounded training set, every name in a third of the templates, all templates in turn."""
+    """(label, text): the bounded training set, every name in every template."""
     rows: list[tuple[str, str]] = []
 
-    def put(label: str, template: str, name: str, i: int) -> None:
-        text = re.sub(r"\bX\b", lambda _: name, re.sub(r"\bA\b", f"author{i % 7}", re.sub(r"\bY\b", "2015", template)))
+    def put(label: str, template: str, name: str) -> None:
+        text = re.sub(r"\bX\b", lambda _: name, re.sub(r"\bA\b", SOMEONE, re.sub(r"\bY\b", "2015", template)))
         rows.append((label, text))
 
-    turn = 0
     for key, name, aliases in licenses:
         names = list(dict.fromkeys([name, key, *(aliases or []), *NAMES.get(key, []), key.replace("-", " ")]))
         for n in names:
-            for k in range(0, len(STATED), 3):
-                put(key, STATED[(k + turn) % len(STATED)], n, turn)
-            for k in range(0, len(REMARKS), 3):
-                put(NONE, REMARKS[(k + turn) % len(REMARKS)], n, turn)
-            put(key, "X", n, turn)
-            turn += 1
+            for template in STATED:
+                put(key, template, n)
+            for template in REMARKS:
+                put(NONE, template, n)
         for whole in WHOLE.get(key, ()):
-            for i in range(4):
-                put(key, whole, "", i)
+            for _ in range(12):
+                put(key, whole, "")
     for silent in SILENT:
-        for i in range(6):
-            put(NONE, silent, "", i)
+        for _ in range(12):
+            put(NONE, silent, "")
     return rows
 
 
@@ -197,9 +202,11 @@ def label_statements(statements: DataFrame, licenses: DataFrame, least: float =
     spark: SparkSession = statements.sparkSession
     listed = [(r[0], r[1] or r[0], list(r[2] or [])) for r in licenses.select("license_key", "license_name", "aliases").filter("license_key is not null").limit(most_licenses).collect()]
     labels = [NONE, *sorted({x[0] for x in listed})]
-    rows = [(float(labels.index(label)), grams(text)) for label, text in training_rows(listed)]
+    examples = training_rows(listed)
+    rows = [(float(labels.index(label)), grams(text)) for label, text in examples]
+    known = frozenset(t for _, text in examples for t in tokens(text))
     train = spark.createDataFrame(rows, "label double, grams array<string>").coalesce(2).cache()
-    counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=1 << 15, binary=True).fit(train)
+    counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=1 << 16, binary=True).fit(train)
     model = LogisticRegression(family="multinomial", regParam=0.0005, maxIter=60).fit(counter.transform(train))
     train.unpersist()
     proof = {k: PROOF.get(k, re.escape(k)) for k in labels[1:]}
@@ -208,7 +215,7 @@ def label_statements(statements: DataFrame, licenses: DataFrame, least: float =
         tests = {k: re.compile(p, re.I | re.S) for k, p in proof.items()}
         for batch in batches:
             spaced = [re.sub(r"[\s_-]+", " ", s) for s in batch["statement"]]
-            yield pd.DataFrame({"statement": batch["statement"], "grams": [grams(s) for s in batch["statement"]], "proved": [[k for k, t in tests.items() if t.search(s)] for s in spaced]})
+            yield pd.DataFrame({"statement": batch["statement"], "grams": [grams(s, known) for s in batch["statement"]], "proved": [[k for k, t in tests.items() if t.search(s)] for s in spaced]})
 
     read_ones = statements.select("statement").mapInPandas(read, "statement string, grams array<string>, proved array<string>")
     scored = model.transform(counter.transform(read_ones)).withColumn("license_key", F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1))
@@ -236,12 +243,14 @@ def found(records: DataFrame, parents: DataFrame, repo_files: DataFrame, license
     def from_code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(i, s) for i, code in zip(batch["shader_id"], batch["code_image"]) for s in code_statements(code)]
-            yield pd.DataFrame(rows, columns=["unit_key", "statement"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["unit_key", "statement"])
 
     def from_body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(i, s) for i, body in zip(batch["repo"], batch["body"]) for s in body_statements(body)]
-            yield pd.DataFrame(rows, columns=["unit_key", "statement"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["unit_key", "statement"])
 
     schema = "unit_key string, statement string"
     coded = spread(records.filter("shader_id is not null and code_image is not null").select("shader_id", "code_image"))
