@@ -97,7 +97,7 @@ query("author_header", f"""select row_id, regexp_replace(trim(regexp_extract(arr
 
 query("topic_quota", f"""
 with a as (select *, case when len(coalesce(tags_topic, [])) < 1 then 'uncategorized' when len(tags_topic) > 1 and tags_topic[1] = 'uncategorized' then tags_topic[2] else tags_topic[1] end as p0 from shader_records),
-b as (select row_id, coalesce(p0, 'uncategorized') as primary_topic, coalesce(reference_only, false) as ref, case when not isnan(quality_score) then quality_score end as q from a)
+b as (select row_id, coalesce(p0, 'uncategorized') as primary_topic, coalesce(reference_only, false) as ref, case when quality_score::varchar <> 'nan' then quality_score end as q from a)
 select row_id, primary_topic from (select *, row_number() over (partition by primary_topic order by ref desc, q desc nulls last, row_id) as r from b) where r <= 5""")(
     lambda s, d: cleaning.topic_quota(table(s, d, "shader_records"), 5).select("row_id", "primary_topic"))
 
@@ -159,7 +159,7 @@ QUALITY = f"""round(least(case when coalesce(compile_ok, false) then 0.40::doubl
     + case when not coalesce(reference_only, false) and not coalesce(has_external_assets, false) then 0.10::double else 0 end, 1.0::double), 4)"""
 query("quality_score", f"select row_id, {QUALITY} as score from {SCORE}")(lambda s, d: table(s, d, "shader_records").select("row_id", analysis.quality().alias("score")))
 query("quality_histogram", """select band, count(q) as n from (values ('<0.4'), ('<0.6'), ('<0.8'), ('>=0.8')) b(band) left join
-    (select quality_score as q, case when quality_score < 0.4 then '<0.4' when quality_score < 0.6 then '<0.6' when quality_score < 0.8 then '<0.8' else '>=0.8' end as w from shader_records where quality_score is not null and not isnan(quality_score)) on w = band group by 1""")(
+    (select quality_score as q, case when quality_score < 0.4 then '<0.4' when quality_score < 0.6 then '<0.6' when quality_score < 0.8 then '<0.8' else '>=0.8' end as w from shader_records where quality_score is not null and quality_score::varchar <> 'nan') on w = band group by 1""")(
     lambda s, d: analysis.histogram(table(s, d, "shader_records"), "quality_score"))
 query("algorithm_summary", f"""
 select row_id, l || ' lines; topics: ' || case when t = '' then 'uncategorized' else t end || '; technique: ' || case when regexp_matches({CODE}, '(?i)march') then 'ray marching'
@@ -168,7 +168,7 @@ from (select *, array_to_string({NOTNULL.format('tags_topic')}, ', ') as t, list
     lambda s, d: table(s, d, "shader_records").select("row_id", analysis.summary_text().alias("summary")))
 query("corpus_summary", f"""
 select count(*) as n, count_if(coalesce(compile_ok, false)) as compile_ok, count_if(coalesce(render_ok, false)) as render_ok, count_if(coalesce(is_generator, true)) as generators, count_if(coalesce(reference_only, false)) as reference_only,
-    round(coalesce(avg(case when not isnan(quality_score) then quality_score end), 0), 6) as avg_quality,
+    round(coalesce(avg(quality_score) filter (where quality_score::varchar <> 'nan'), 0), 6) as avg_quality,
     count_if(len(list_filter(coalesce(tags_topic, []), lambda t: t is not null and t <> 'uncategorized')) >= 2) as multi_tag,
     (select round(max(n) / sum(n), 6) from (select count(*) as n from (select unnest(tags_topic) as t from shader_records) where t is not null group by t)) as top_share from shader_records""")(
     lambda s, d: analysis.corpus_summary(table(s, d, "shader_records")))
@@ -374,7 +374,7 @@ def search_queries(s, d):
     return rows.select("query_id", "text", "embedding", F.coalesce("want_tags", F.array().cast("array<string>")).alias("want_tags"))
 
 
-HYBRID = f"""with pp as (select shader_id as parent_id, coalesce(indexed_at, '') as at_, coalesce(case when not isnan(quality_score) then quality_score end, 0) as quality, coalesce(tags_topic, '') as tg,
+HYBRID = f"""with pp as (select shader_id as parent_id, coalesce(indexed_at, '') as at_, coalesce(case when quality_score::varchar <> 'nan' then quality_score end, 0) as quality, coalesce(tags_topic, '') as tg,
     coalesce(nullif(coalesce(algorithm_summary, ''), ''), substr(coalesce(code_image, ''), 1, 600)) as doc_text from parent_docs where shader_id is not null),
 par as materialized (select parent_id, list_filter(string_split(tg, ','), lambda t: t <> '') as tags, quality, doc_text from (select *, row_number() over (partition by parent_id order by at_ desc, quality desc, tg desc, doc_text desc) as r from pp) where r = 1),
 que as materialized (select doc_id as query_id, coalesce(title, '') as q, coalesce(par.tags[1:1], []) as want from documents join embeddings on vec_id = doc_id left join par using (parent_id) where doc_id % 20 = 0 and trim(coalesce(title, '')) <> ''),
@@ -397,7 +397,7 @@ al as (select query_id, parent_id, round(0.3::double * fused + 0.7::double * cas
 def _(s, d):
     return search.hybrid(search_queries(s, d), chunk_frame(s, d), vectors(s, d), parent_frame(s, d)).withColumn("rank", F.col("rank").cast("long"))
 
-@query("legacy_search", f"""with {KNN}, pp as (select shader_id as parent_id, coalesce(indexed_at, '') as at_, coalesce(case when not isnan(quality_score) then quality_score end, 0) as quality, coalesce(tags_topic, '') as tg,
+@query("legacy_search", f"""with {KNN}, pp as (select shader_id as parent_id, coalesce(indexed_at, '') as at_, coalesce(case when quality_score::varchar <> 'nan' then quality_score end, 0) as quality, coalesce(tags_topic, '') as tg,
     coalesce(nullif(coalesce(algorithm_summary, ''), ''), substr(coalesce(code_image, ''), 1, 600)) as doc_text from parent_docs where shader_id is not null),
 par as (select parent_id, list_filter(string_split(tg, ','), lambda t: t <> '') as tags from (select *, row_number() over (partition by parent_id order by at_ desc, quality desc, tg desc, doc_text desc) as r from pp) where r = 1),
 que as (select doc_id as query_id, coalesce(par.tags[1:1], []) as want from documents join embeddings on vec_id = doc_id left join par using (parent_id) where doc_id % 20 = 0)
@@ -430,7 +430,7 @@ with a as (select coalesce(task, '') as task, elapsed_ms, coalesce(ok, false) an
     case when len({MET}) > 0 then list_sum(list_transform({MET}, lambda m: coalesce(m.score, 0))) / len({MET}) else 0 end as ms from eval_cases)
 select task, count(*) as n_cases, count_if(passed) as n_passed, round(avg(passed::int), 6) as pass_rate, round(avg(ms), 6) as mean_score, round(coalesce(avg(elapsed_ms), 0), 4) as avg_latency_ms from a group by 1""")(
     lambda s, d: evaluation.report(table(s, d, "eval_cases")))
-query("eval_by_metric", """select name, round(avg(score), 4) as mean, round(min(score), 4) as low, round(max(score), 4) as high, count(*) as n from (select unnest(metrics, recursive := true) from eval_cases) where name is not null and score is not null and not isnan(score) group by 1""")(
+query("eval_by_metric", """select name, round(avg(score), 4) as mean, round(min(score), 4) as low, round(max(score), 4) as high, count(*) as n from (select unnest(metrics, recursive := true) from eval_cases) where name is not null and score is not null and score::varchar <> 'nan' group by 1""")(
     lambda s, d: evaluation.by_metric(table(s, d, "eval_cases")))
 query("retrieval_relevancy", f"""
 with a as (select case_id, started_at, elapsed_ms, list_transform({MET}, lambda m: coalesce(m.score, 0)) as s from eval_cases)
