@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucerna.functions.text import GAP, START, STOP, line_count, text
+from lucerna.functions.text import GAP, START, STOP, fast, line_count, text
 
 #: What a topic shows in name, description, raw tags or code.
 RULES = {
@@ -19,6 +19,8 @@ RULES = {
     "kaleidoscope": rf"(?i){START}kaleidoscop",
     "2d-pattern": rf"(?i){START}(?:kaleidoscop|(?:tile|tiling|truchet|checker|checkerboard|grid|voronoi|hex{GAP}*grid|polar{GAP}*coord){STOP})",
 }
+#: Letters that the words of each rule begin with.
+FIRST = {"raymarching": "rmt", "sdf": "sdo", "noise": "nscvfh", "fractal": "mjfsioe", "post-processing": "bvcatfkgp", "lighting": "dspbcran", "animation": "i", "kaleidoscope": "k", "2d-pattern": "ktcgvhp"}
 #: Hints of visual features.
 VISUAL = {
     "glow": ("glow", "bloom", "neon"), "smooth": ("smoothstep", "smin", "smax"), "metallic": ("reflect", "fresnel", "specular"),
@@ -34,7 +36,7 @@ def rule_tags() -> Column:
     """Tags a record has, then those its text shows, in order; 'uncategorized' where there are none."""
     words = F.array_join(F.filter(_list("tags_raw"), lambda t: t.isNotNull()), " ")
     doc = F.concat_ws("\n", text("name"), text("description"), words, text("code_image"), text("code_common"))
-    flagged = F.array_compact(F.array(*[F.when(doc.rlike(p), F.lit(tag)) for tag, p in RULES.items()]))
+    flagged = F.array_compact(F.array(*[F.when(doc.rlike(fast(p, FIRST[tag])), F.lit(tag)) for tag, p in RULES.items()]))
     tags = F.array_distinct(F.concat(F.filter(_list("tags_topic"), lambda t: t.isNotNull()), flagged))
     return F.when(F.size(tags) == 0, F.array(F.lit("uncategorized"))).otherwise(tags)
 
@@ -70,7 +72,7 @@ def quality() -> Column:
 def summary_text() -> Column:
     """One sentence on length, topics, technique and functions."""
     code = text("code_image")
-    technique = F.when(code.rlike("(?i)march"), "ray marching").when(code.rlike(rf"{START}sd[A-Z]"), "distance fields").otherwise("screen space shading")
+    technique = F.when(code.rlike("(?i)march"), "ray marching").when(code.rlike(fast(rf"{START}sd[A-Z]", "s")), "distance fields").otherwise("screen space shading")
     names = F.slice(F.filter(_list("key_functions"), lambda f: f.isNotNull() & (f != "mainImage")), 1, 5)
     tags = F.array_join(F.filter(_list("tags_topic"), lambda t: t.isNotNull()), ", ")
     return F.concat(line_count("code_image").cast("string"), F.lit(" lines; topics: "), F.when(tags == "", "uncategorized").otherwise(tags), F.lit("; technique: "), technique,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lucerna.functions.text import GAP, START, STOP, count_of, text, without_comments
+from lucerna.functions.text import GAP, START, STOP, count_of, fast, text, without_comments
 
 LOOSE = rf"{START}void{GAP}+mainImage{GAP}*\("
 SIGNED = rf"{START}void{GAP}+mainImage{GAP}*\({GAP}*out{GAP}+vec4{GAP}+[\p{{L}}\p{{N}}_]+{GAP}*,{GAP}*(?:in{GAP}+)?vec2{GAP}+[\p{{L}}\p{{N}}_]+{GAP}*\)"
@@ -27,13 +27,13 @@ def violated(code, dynamic: Column | None = None) -> dict[str, Column]:
     own = F.regexp_extract_all(c, F.lit(rf"(?m)^{GAP}*uniform{GAP}+[\p{{L}}\p{{N}}_]+{GAP}+([\p{{L}}\p{{N}}_]+)"), F.lit(1))
     lines = count_of(c, "\n") + 1
     rules = {
-        "GLSL001": F.length(c) > 20000, "GLSL002": lines > 800, "GLSL010": ~c.rlike(LOOSE), "GLSL011": c.rlike(LOOSE) & ~c.rlike(SIGNED),
-        "GLSL012": c.rlike(rf"{START}void{GAP}+main{GAP}*\({GAP}*(?:void)?{GAP}*\)"),
-        "GLSL020": c.rlike(rf"{START}(?:iChannel[0-9]|sampler(?:2D|Cube|3D)|iChannelResolution|iChannelTime){STOP}"),
-        "GLSL021": c.rlike(rf"{START}(?:round|roundEven|trunc|isnan|isinf|textureGather){GAP}*\("),
+        "GLSL001": F.length(c) > 20000, "GLSL002": lines > 800, "GLSL010": ~c.rlike(fast(LOOSE, "v")), "GLSL011": c.rlike(fast(LOOSE, "v")) & ~c.rlike(fast(SIGNED, "v")),
+        "GLSL012": c.rlike(fast(rf"{START}void{GAP}+main{GAP}*\({GAP}*(?:void)?{GAP}*\)", "v")),
+        "GLSL020": c.rlike(fast(rf"{START}(?:iChannel[0-9]|sampler(?:2D|Cube|3D)|iChannelResolution|iChannelTime){STOP}", "is")),
+        "GLSL021": c.rlike(fast(rf"{START}(?:round|roundEven|trunc|isnan|isinf|textureGather){GAP}*\(", "rti")),
         "GLSL022": F.exists(own, lambda u: ~u.isin(*UNIFORMS)), "GLSL030": c.rlike(rf"(?m)^{GAP}*```"), "GLSL031": c.rlike(rf"(?m)^{GAP}*#version{STOP}"),
         "GLSL040": count_of(c, "{") != count_of(c, "}"), "GLSL041": count_of(c, "(") != count_of(c, ")"),
-        "GLSL050": c.rlike(rf"{START}while{GAP}*\({GAP}*true{GAP}*\)") & ~c.contains("break"),
+        "GLSL050": c.rlike(fast(rf"{START}while{GAP}*\({GAP}*true{GAP}*\)", "w")) & ~c.contains("break"),
     }
     if dynamic is not None:
         rules["GLSL060"] = dynamic & ~c.contains("iTime")
@@ -57,21 +57,21 @@ def convention(code) -> Column:
     named = F.regexp_extract_all(c, F.lit(rf"{START}uniform{GAP}+([^\n]*)"), F.lit(1))
     allowed = F.forall(named, lambda n: n.rlike(rf"{START}(?:iResolution|iTime|iMouse){STOP}"))
     checks = (
-        c.rlike(STRICT), ~c.rlike(rf"{START}(?:sampler2D|samplerCube|iChannel[0-9]){STOP}"), allowed,
-        ~c.rlike(rf"{START}(?:round|roundEven|trunc|textureLod|texelFetch){GAP}*\("),
+        c.rlike(fast(STRICT, "v")), ~c.rlike(fast(rf"{START}(?:sampler2D|samplerCube|iChannel[0-9]){STOP}", "is")), allowed,
+        ~c.rlike(fast(rf"{START}(?:round|roundEven|trunc|textureLod|texelFetch){GAP}*\(", "rt")),
         (count_of(c, "{") == count_of(c, "}")) & (count_of(c, "(") == count_of(c, ")")))
     return sum((F.when(x, 1).otherwise(0) for x in checks[1:]), F.when(checks[0], 1).otherwise(0)) / 5.0
 
 
 def renderable(code) -> Column:
     """No channel and no sampler, so a frame can be drawn without assets."""
-    return ~text(code).rlike(rf"{START}(?:iChannel[0-9]|sampler(?:2D|Cube|3D)){STOP}")
+    return ~text(code).rlike(fast(rf"{START}(?:iChannel[0-9]|sampler(?:2D|Cube|3D)){STOP}", "is"))
 
 
 def mock_compiles(code) -> Column:
     """An entry point and no vec3 that is given a vec4."""
     c = text(code)
-    return c.rlike(rf"{START}void{GAP}+main(?:Image)?{GAP}*\(") & ~c.rlike(rf"{START}vec3{GAP}+[\p{{L}}\p{{N}}_]+{GAP}*={GAP}*vec4{GAP}*\(")
+    return c.rlike(fast(rf"{START}void{GAP}+main(?:Image)?{GAP}*\(", "v")) & ~c.rlike(fast(rf"{START}vec3{GAP}+[\p{{L}}\p{{N}}_]+{GAP}*={GAP}*vec4{GAP}*\(", "v"))
 
 
 def missing(code, wanted: tuple[str, ...]) -> Column:

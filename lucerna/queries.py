@@ -9,6 +9,7 @@ from lucerna.functions import text as tx
 from lucerna.functions.current import current_rows
 from lucerna.functions.functions_of_code import split_sections
 from lucerna.operators import analysis, chunking, cleaning, evaluation, messages, rules, search
+from lucerna.plans.runtime import materialize, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +43,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def busy(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table for CPU-heavy expressions: spread over all cores where the files alone give fewer tasks."""
+    return spread(table(spark, d, name))
+
+
 CODE = "coalesce(code_image, '')"
 LINES = "(case when {0} = '' then 0 else length({0}) - length(replace({0}, chr(10), '')) + case when {0} like '%' || chr(10) then 0 else 1 end end)"
 UNIX = "regexp_replace(coalesce(code_image, ''), '\\r\\n|\\r', chr(10), 'g')"
@@ -138,7 +144,7 @@ ORDERED = "list_reduce(list_prepend([]::varchar[], list_transform({0}, lambda t:
 query("tag_rules", f"""
 with a as (select row_id, list_concat({NOTNULL.format('tags_topic')}, list_filter([{FLAGS}], lambda t: t is not null)) as t from shader_records)
 select row_id, case when len(t) = 0 then 'uncategorized' else array_to_string({ORDERED.format('t')}, ',') end as tags from a""")(
-    lambda s, d: table(s, d, "shader_records").select("row_id", F.array_join(analysis.rule_tags(), ",").alias("tags")))
+    lambda s, d: busy(s, d, "shader_records").select("row_id", F.array_join(analysis.rule_tags(), ",").alias("tags")))
 
 query("topic_distribution", "select topic, count(*) as n from (select unnest(tags_topic) as topic from shader_records) where topic is not null group by 1")(
     lambda s, d: analysis.topic_distribution(table(s, d, "shader_records")))
@@ -149,7 +155,7 @@ VISUAL = ", ".join(f"case when {holds('h', hints)} then {quoted(n)} end" for n,
 query("visual_features", f"""
 with a as (select row_id, lower(array_to_string({NOTNULL.format('tags_topic')}, ' ') || ' ' || {CODE}) as h from shader_records)
 select row_id, array_to_string(list_filter([{VISUAL}], lambda x: x is not null), ',') as features from a""")(
-    lambda s, d: table(s, d, "shader_records").select("row_id", F.array_join(analysis.visual_features(), ",").alias("features")))
+    lambda s, d: busy(s, d, "shader_records").select("row_id", F.array_join(analysis.visual_features(), ",").alias("features")))
 
 ENTRY = f"(contains({CODE}, 'mainImage') or contains({CODE}, 'void main')) and (contains({CODE}, 'fragColor') or contains({CODE}, 'gl_FragColor'))"
 SCORE = f"""(select *, {LINES.format('u')} as l, len(list_filter(coalesce(key_functions, []), lambda f: f is not null and f <> 'mainImage')) as k from (select *, {UNIX} as u from shader_records))"""
@@ -157,7 +163,7 @@ QUALITY = f"""round(least(case when coalesce(compile_ok, false) then 0.40::doubl
     + case when {ENTRY} and k >= 1 then 0.10::double when {ENTRY} then 0.05::double else 0 end + 0.10::double * least(log10(greatest(coalesce(likes, 0), 0) + 1.0::double) / 5.0::double, 1.0::double)
     + 0.15::double * least(len(coalesce(tags_topic, [])), 4) / 4.0::double + case when l between 50 and 500 then 0.10::double when l between 20 and 49 or l between 501 and 800 then 0.05::double else 0 end
     + case when not coalesce(reference_only, false) and not coalesce(has_external_assets, false) then 0.10::double else 0 end, 1.0::double), 4)"""
-query("quality_score", f"select row_id, {QUALITY} as score from {SCORE}")(lambda s, d: table(s, d, "shader_records").select("row_id", analysis.quality().alias("score")))
+query("quality_score", f"select row_id, {QUALITY} as score from {SCORE}")(lambda s, d: busy(s, d, "shader_records").select("row_id", analysis.quality().alias("score")))
 query("quality_histogram", """select band, count(q) as n from (values ('<0.4'), ('<0.6'), ('<0.8'), ('>=0.8')) b(band) left join
     (select quality_score as q, case when quality_score < 0.4 then '<0.4' when quality_score < 0.6 then '<0.6' when quality_score < 0.8 then '<0.8' else '>=0.8' end as w from shader_records where quality_score is not null and quality_score::varchar <> 'nan') on w = band group by 1""")(
     lambda s, d: analysis.histogram(table(s, d, "shader_records"), "quality_score"))
@@ -165,7 +171,7 @@ query("algorithm_summary", f"""
 select row_id, l || ' lines; topics: ' || case when t = '' then 'uncategorized' else t end || '; technique: ' || case when regexp_matches({CODE}, '(?i)march') then 'ray marching'
     when regexp_matches({CODE}, {quoted(tx.START + 'sd[A-Z]')}) then 'distance fields' else 'screen space shading' end || '; functions: ' || case when len(f) = 0 then 'none' else array_to_string(f, ', ') end as summary
 from (select *, array_to_string({NOTNULL.format('tags_topic')}, ', ') as t, list_filter(coalesce(key_functions, []), lambda f: f is not null and f <> 'mainImage')[1:5] as f from {SCORE})""")(
-    lambda s, d: table(s, d, "shader_records").select("row_id", analysis.summary_text().alias("summary")))
+    lambda s, d: busy(s, d, "shader_records").select("row_id", analysis.summary_text().alias("summary")))
 query("corpus_summary", f"""
 select count(*) as n, count_if(coalesce(compile_ok, false)) as compile_ok, count_if(coalesce(render_ok, false)) as render_ok, count_if(coalesce(is_generator, true)) as generators, count_if(coalesce(reference_only, false)) as reference_only,
     round(coalesce(avg(quality_score) filter (where quality_score::varchar <> 'nan'), 0), 6) as avg_quality,
@@ -192,7 +198,7 @@ union all select shader_id, 'algorithm', algorithm_summary from shader_records w
 union all select shader_id, 'full_code', substr({CODE}, 1, 2000) from shader_records where regexp_replace(substr({CODE}, 1, 2000), '[\\s\\p{{Z}}]+', '', 'g') <> '')
 select concat_ws('::', p, kind) as chunk_id, p as parent_id, kind, kind as title, text from a""")(
     lambda s, d: chunking.text_chunks(table(s, d, "shader_records")))
-query("chunk_functions")(lambda s, d: chunking.function_chunks(table(s, d, "shader_records")))
+query("chunk_functions")(lambda s, d: chunking.function_chunks(busy(s, d, "shader_records")))
 query("code_sections")(lambda s, d: table(s, d, "shader_records").filter("code_image is not null").select("row_id", F.explode(split_sections("code_image")).alias("title", "code")))
 query("comment_strip", f"""select row_id, length(regexp_replace(regexp_replace({CODE}, '/\\*[\\s\\S]*?\\*/', '', 'g'), '//[^\\n]*', '', 'g')) as chars from shader_records""")(
     lambda s, d: table(s, d, "shader_records").select("row_id", F.length(tx.without_comments("code_image")).alias("chars")))
@@ -239,7 +245,7 @@ ERRORS = among(k for k, (level, _) in rules.MESSAGES.items() if level == "error"
 with a as (select row_id, {CODE} as c, {PLAIN} as full_ from shader_records), b as (select row_id, list_filter([case when not full_ then 'GLSL000' end, {ROWS}], lambda x: x is not null) as v from a)
 select row_id, array_to_string(v, ',') as rules, len(list_filter(v, lambda x: x in {ERRORS})) as n_error, len(list_filter(v, lambda x: x in {ERRORS})) = 0 as passed from b""")
 def _(s, d):
-    v = table(s, d, "shader_records").select("row_id", rules.check("code_image").alias("v"))
+    v = busy(s, d, "shader_records").select("row_id", rules.check("code_image").alias("v"))
     n = F.size(rules.errors_of(F.col("v")))
     return v.select("row_id", F.array_join(F.transform("v", lambda x: x["rule_id"]), ",").alias("rules"), n.alias("n_error"), (n == 0).alias("passed"))
 
@@ -250,12 +256,12 @@ select row_id, round((case when regexp_matches(c, {quoted(rules.STRICT)}) then 1
     + case when len(list_filter(regexp_extract_all(c, {quoted(f'{B}uniform{G}+([^{chr(92)}n]*)')}, 1), lambda u: not regexp_matches(u, {quoted(f'{B}(?:iResolution|iTime|iMouse){E}')}))) = 0 then 1 else 0 end
     + case when regexp_matches(c, {quoted(rf'{B}(?:round|roundEven|trunc|textureLod|texelFetch){G}*\(')}) then 0 else 1 end
     + case when {counted('c', '{')} = {counted('c', '}')} and {counted('c', '(')} = {counted('c', ')')} then 1 else 0 end) / 5.0::double, 4) as score from a""")(
-    lambda s, d: table(s, d, "shader_records").select("row_id", F.round(rules.convention("code_image"), 4).alias("score")))
+    lambda s, d: busy(s, d, "shader_records").select("row_id", F.round(rules.convention("code_image"), 4).alias("score")))
 query("bracket_balance", f"select row_id, {counted('c', '{')} - {counted('c', '}')} as braces, {counted('c', '(')} - {counted('c', ')')} as parens from (select row_id, {STRIPPED} as c from shader_records)")(
-    lambda s, d: table(s, d, "shader_records").withColumn("c", tx.without_comments("code_image")).select("row_id", (tx.count_of(F.col("c"), "{") - tx.count_of(F.col("c"), "}")).alias("braces"), (tx.count_of(F.col("c"), "(") - tx.count_of(F.col("c"), ")")).alias("parens")))
+    lambda s, d: busy(s, d, "shader_records").withColumn("c", tx.without_comments("code_image")).select("row_id", (tx.count_of(F.col("c"), "{") - tx.count_of(F.col("c"), "}")).alias("braces"), (tx.count_of(F.col("c"), "(") - tx.count_of(F.col("c"), ")")).alias("parens")))
 query("render_support", f"""select row_id, not regexp_matches({CODE}, {quoted(f'{B}(?:iChannel[0-9]|sampler(?:2D|Cube|3D)){E}')}) as renders,
     regexp_matches({CODE}, {quoted(rf'{B}void{G}+main(?:Image)?{G}*\(')}) and not regexp_matches({CODE}, {quoted(rf'{B}vec3{G}+{WORDS}{G}*={G}*vec4{G}*\(')}) as compiles from shader_records""")(
-    lambda s, d: table(s, d, "shader_records").select("row_id", rules.renderable("code_image").alias("renders"), rules.mock_compiles("code_image").alias("compiles")))
+    lambda s, d: busy(s, d, "shader_records").select("row_id", rules.renderable("code_image").alias("renders"), rules.mock_compiles("code_image").alias("compiles")))
 MUST, MUST_NOT = ("mainImage", "fragColor", "iTime"), ("iChannel", "texture(")
 query("contains_assert", f"""select row_id, array_to_string(list_filter({list(MUST)}, lambda w: not contains({CODE}, w)), ',') as missing, array_to_string(list_filter({list(MUST_NOT)}, lambda w: contains({CODE}, w)), ',') as forbidden from shader_records""")(
     lambda s, d: table(s, d, "shader_records").select("row_id", F.array_join(rules.missing("code_image", MUST), ",").alias("missing"), F.array_join(rules.present("code_image", MUST_NOT), ",").alias("forbidden")))
@@ -305,7 +311,7 @@ BM25 = f"with {INDEX}, {KEYWORD.format(terms=terms_sql(TITLES, 'query_id', 'q'))
 
 
 def chunk_frame(s, d):
-    return table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "parent_id", F.concat(tx.text("title"), F.lit("\n"), tx.text("text")).alias("text"))
+    return busy(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "parent_id", F.concat(tx.text("title"), F.lit("\n"), tx.text("text")).alias("text"))
 
 
 def title_queries(s, d):
@@ -314,7 +320,6 @@ def title_queries(s, d):
 
 
 def bm25_hits(s, d, k: int = 20):
-    from lucerna.plans.runtime import materialize
     index = materialize(search.postings(chunk_frame(s, d)))
     return search.bm25(title_queries(s, d), index, search.term_stats(index), k)
 
@@ -459,7 +464,6 @@ with recursive m as materialized (select event_id as id, lag(event_id) over w as
 l as (select id as start, 0 as hop, id from m where nx is null union all select l.start, l.hop + 1, m.up from l join m on m.id = l.id where m.up is not null and l.hop < 1024)
 select start, hop, id as msg_id from l""")
 def _(s, d):
-    from lucerna.plans.runtime import materialize
     chain = materialize(message_chain(s, d))
     return messages.lineage(chain, chain.filter("next_id is null"))
 
