@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,21 +85,22 @@ def grams(text: str) -> list[str]:
 
 
 def file_sentences(records: DataFrame) -> DataFrame:
-    """(shader_id, row_id, n_chars, hash, chars, text): one row per distinct sentence of a row's code."""
+    """(shader_id, code_id, n_chars, hash, chars, text): one row per distinct sentence of a row's code."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for sid, row, code in zip(batch["shader_id"], batch["row_id"], batch["code_image"]):
+            for sid, code in zip(batch["shader_id"], batch["code_image"]):
+                code_id = xxhash.xxh64_intdigest(code.encode("utf-8", "replace")) - (1 << 63)
                 own: Counter = Counter()
                 for passage in passages(code):
                     own.update(sentences(passage))
-                rows += [(sid, row, len(code), hashlib.md5(s.encode("utf-8", "replace")).digest(), n * len(s), s) for s, n in own.items()]
+                rows += [(sid, code_id, len(code), hashlib.md5(s.encode("utf-8", "replace")).digest(), n * len(s), s) for s, n in own.items()]
             if rows:
-                yield pd.DataFrame(rows, columns=["shader_id", "row_id", "n_chars", "hash", "chars", "text"])
+                yield pd.DataFrame(rows, columns=["shader_id", "code_id", "n_chars", "hash", "chars", "text"])
 
-    coded = records.filter(F.col("shader_id").isNotNull() & (F.length("code_image") > 0)).select("shader_id", "row_id", "code_image")
-    return spread(coded).mapInPandas(scan, "shader_id string, row_id long, n_chars int, hash binary, chars int, text string")
+    coded = records.filter(F.col("shader_id").isNotNull() & (F.length("code_image") > 0)).select("shader_id", "code_image")
+    return spread(coded).mapInPandas(scan, "shader_id string, code_id long, n_chars int, hash binary, chars int, text string")
 
 
 def train(documents: DataFrame, most: int = GRAMS) -> dict:
@@ -127,7 +129,7 @@ def train(documents: DataFrame, most: int = GRAMS) -> dict:
                 yield pd.DataFrame({"lang": [k[0] for k in seen], "gram": [k[1] for k in seen], "n": list(seen.values())})
 
     labelled = documents.select(F.lower(F.trim("lang")).alias("lang"), "text").filter(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
-    prose = labelled.mapInPandas(cut, "lang string, text string, n long").groupBy("lang", "text").agg(F.sum("n").alias("n"))
+    prose = spread(labelled).mapInPandas(cut, "lang string, text string, n long").groupBy("lang", "text").agg(F.sum("n").alias("n"))
     counts = prose.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= most)
     table: dict[str, list[float]] = {}
@@ -172,8 +174,8 @@ def shares(records: DataFrame, documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"hash": batch["hash"], "lang": [classify(t, model) for t in batch["text"]]})
 
     labels = own.groupBy("hash").agg(F.min("text").alias("text")).mapInPandas(label, "hash binary, lang string")
-    weighed = salted_join(own.select("shader_id", "row_id", "n_chars", "hash", "chars"), labels, "hash", "shader_id")
-    by = weighed.filter("lang <> ''").groupBy("shader_id", "row_id", "n_chars", "lang").agg(F.sum("chars").alias("chars"))
+    weighed = salted_join(own.select("shader_id", "code_id", "n_chars", "hash", "chars").distinct(), labels, "hash", "shader_id")
+    by = weighed.filter("lang <> ''").groupBy("shader_id", "code_id", "n_chars", "lang").agg(F.sum("chars").alias("chars"))
     return by.groupBy("shader_id", "lang").agg(F.max(F.struct((F.col("chars") / F.col("n_chars")).alias("share"), "chars", "n_chars")).alias("m")).select(
         "shader_id", "lang", "m.chars", "m.n_chars", "m.share")
 
