@@ -87,9 +87,9 @@ SILENT = (
 #: What must be in a text for a label to hold; a label without it is rejected.
 PROOF = {
     "mit": r"\b(?:mit|expat)\b(?! (?:de[rmns]|dies\w+|ein\w*|viel\w*|kein\w*|mehr|etwas)\b)", "apache-2.0": r"\b(?:apache|asl)\b", "gpl-2.0": r"(?:\bgpl|general public).{0,24}2(?!\.1)", "gpl-3.0": r"(?:\bgpl|general public).{0,24}3",
-    "lgpl-2.1": r"lgpl|lesser", "bsd-2-clause": r"(?=.*\bbsd)(?=.*(?:2|two|simplified|freebsd))", "bsd-3-clause": r"(?=.*\bbsd)(?=.*(?:3|three|new|modified|revised))", "mpl-2.0": r"\bmpl|mozilla",
+    "lgpl-2.1": r"lgpl|lesser", "bsd-2-clause": r"\A(?=.*\bbsd)(?=.*(?:2|two|simplified|freebsd))", "bsd-3-clause": r"\A(?=.*\bbsd)(?=.*(?:3|three|new|modified|revised))", "mpl-2.0": r"\bmpl|mozilla",
     "zlib": r"\bzlib", "cc0-1.0": r"\bcc ?-?0|\bzero\b|\bcczero", "cc-by-4.0": r"\bby\b|attribution", "cc-by-sa-4.0": r"\bsa\b|share", "cc-by-nc-4.0": r"\bnc\b|non-? ?commercial",
-    "cc-by-nc-sa-3.0": r"(?=.*(?:\bnc\b|non-? ?commercial))(?=.*(?:\bsa\b|share))", "public-domain": r"public|\bpd\b|gemeinfrei|domin|domaine|domen|достояни|公有|パブリック",
+    "cc-by-nc-sa-3.0": r"\A(?=.*(?:\bnc\b|non-? ?commercial))(?=.*(?:\bsa\b|share))", "public-domain": r"public|\bpd\b|gemeinfrei|domin|domaine|domen|достояни|公有|パブリック",
     "proprietary": r"proprietary|rights? reserved|rechte|droits|derechos|direitos|diritti|prawa|права|confidential|permission|redistribut|版权|权利|無断|著作",
 }
 #: Words of which a passage has at least one to be looked at as a statement.
@@ -206,8 +206,8 @@ def label_statements(statements: DataFrame, licenses: DataFrame, least: float =
     rows = [(float(labels.index(label)), grams(text)) for label, text in examples]
     known = frozenset(t for _, text in examples for t in tokens(text))
     train = spark.createDataFrame(rows, "label double, grams array<string>").coalesce(2).cache()
-    counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=1 << 16, binary=True).fit(train)
-    model = LogisticRegression(family="multinomial", regParam=0.0005, maxIter=60).fit(counter.transform(train))
+    counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=1 << 14, minDF=3, binary=True).fit(train)
+    model = LogisticRegression(family="multinomial", regParam=0.0005, maxIter=30).fit(counter.transform(train))
     train.unpersist()
     proof = {k: PROOF.get(k, re.escape(k)) for k in labels[1:]}
 
@@ -264,7 +264,7 @@ def found(records: DataFrame, parents: DataFrame, repo_files: DataFrame, license
     labels = label_statements(stated.select("statement").distinct(), licenses)
     keys = salted_join(stated, labels, "statement", "unit_key").groupBy("unit", "unit_key").agg(F.array_sort(F.collect_set("license_key")).alias("keys"))
     keys = keys.select("unit", "unit_key", verdict(F.col("keys")).alias("stated"))
-    repos = files.select(F.col("repo").alias("unit_key")).distinct().join(keys.filter("unit = 'repo'").drop("unit"), "unit_key", "left")
+    repos = repo_files.filter("repo is not null").select(F.col("repo").alias("unit_key")).distinct().join(keys.filter("unit = 'repo'").drop("unit"), "unit_key", "left")
     repos = repos.select(F.lit("repo").alias("unit"), "unit_key", F.coalesce("stated", F.lit("unknown")).alias("finding"))
     repos = materialize(repos)
     units = records.filter("shader_id is not null").groupBy(F.col("shader_id").alias("unit_key")).agg(F.max(repository_of(F.col("source_url"))).alias("repo"))
