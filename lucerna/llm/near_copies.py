@@ -1,9 +1,10 @@
 """Problem 5: records whose code was derived from other records by small edits.
 
-Fingerprint: ``BLOCKS * WIDTH`` min-hash symbols over a code's uncommon three-token shingles (all shingles
-where hardly any are uncommon). It is split into ``BLOCKS`` blocks; by the pigeonhole principle two
-fingerprints with fewer than ``BLOCKS`` differing symbols share a block, so joining on blocks finds them.
-Candidates are verified by the Hamming distance of their fingerprints, then by the exact similarity.
+Fingerprint: ``BLOCKS * WIDTH`` min-hash symbols over a code's uncommon three-token shingles. It is split into
+``BLOCKS`` blocks; by the pigeonhole principle two fingerprints with fewer than ``BLOCKS`` differing symbols
+share a block, so joining on blocks finds them; closer ones share many. A code in which few shingles are
+uncommon has a second fingerprint over all its shingles, split into wider blocks. Candidates are verified by
+the Hamming distance of their fingerprints, then by the exact similarity.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import types as T
 from lucerna.functions.code_text import without_comments
 from lucerna.plans.runtime import materialize, spread
 
-BLOCKS, WIDTH = 48, 3
+BLOCKS, WIDTH = 64, 3
 #: A shingle is common if it is in at least this share of the codes of a task's sample of all codes.
-COMMON = 0.03
+COMMON = 0.05
+#: A code with a smaller share of uncommon shingles has the second fingerprint too.
+FEW = 0.4
 #: Text bytes hashed at a time; bounds a task's memory.
 CHUNK = 1 << 20
 _U = np.uint64
@@ -115,6 +118,21 @@ def _fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _split(values: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of one byte, and a hash of each block; ``wide`` neighbouring blocks count as one."""
+    with np.errstate(over="ignore"):
+        low = _mixed(values)
+        parts = low.reshape(len(values), BLOCKS, WIDTH)
+        blocks = np.zeros((len(values), BLOCKS), _U)
+        for w in range(WIDTH):
+            blocks = _mixed(blocks * _U(_BASE) + parts[:, :, w])
+        one = blocks
+        for k in range(1, wide):
+            blocks = _mixed(blocks + _mixed(np.roll(one, k, 1)))
+        blocks = _mixed(blocks + np.arange(BLOCKS, dtype=_U) + _U(1000 * wide))
+    return (low & _U(255)).astype(np.uint8), blocks.astype(np.int64)
+
+
 def common_shingles(codes: DataFrame) -> np.ndarray:
     """Hashes of the shingles that at least COMMON of all codes contain, up to how the tasks divide the rows.
 
@@ -161,31 +179,29 @@ def signatures(codes: DataFrame, common: np.ndarray) -> DataFrame:
                 with np.errstate(over="ignore"):
                     key = np.array([int(np.bitwise_xor.reduce(_mixed(x + _U(len(x)))) & _U(_MASK >> 1)) for x in sets], np.int64)
                 rare = [x[~np.isin(x, common, assume_unique=True)] for x in sets]
-                plain = np.array([len(r) * 3 < len(x) for r, x in zip(rare, sets)])
-                prints = _fingerprints([x if p else r for r, x, p in zip(rare, sets, plain)])
-                with np.errstate(over="ignore"):
-                    low = _mixed(prints)
-                    join = low.reshape(len(sets), BLOCKS, WIDTH)
-                    blocks = np.zeros((len(sets), BLOCKS), _U)
-                    for w in range(WIDTH):
-                        blocks = _mixed(blocks * _U(_BASE) + join[:, :, w])
-                    # two neighbouring blocks as one where hardly a shingle is uncommon, which keeps chance meetings rare
-                    wide = _mixed(blocks + _mixed(np.roll(blocks, 1, 1)))
-                    blocks = np.where(plain[:, None], wide, blocks) + np.arange(BLOCKS, dtype=_U)
-                symbols = (low & _U(255)).astype(np.uint8)
-                yield pd.DataFrame({"shader_id": ids, "class_id": key, "fingerprint": [r.tobytes() for r in symbols], "blocks": list(blocks.astype(np.int64))})
+                few = [i for i, (r, x) in enumerate(zip(rare, sets)) if len(r) < FEW * len(x)]
+                low, blocks = _split(_fingerprints([r if len(r) else x for r, x in zip(rare, sets)]), 1)
+                prints, cells = [r.tobytes() for r in low], [b if len(r) else b[:0] for b, r in zip(blocks, rare)]
+                if few:
+                    low, blocks = _split(_fingerprints([sets[i] for i in few]), 2)
+                    for i, own, b in zip(few, low, blocks):
+                        prints[i] += own.tobytes()
+                        cells[i] = np.concatenate((cells[i], b))
+                yield pd.DataFrame({"shader_id": ids, "class_id": key, "fingerprint": prints, "blocks": cells})
 
     return codes.select("shader_id", "code_image").mapInPandas(sign, "shader_id string, class_id long, fingerprint binary, blocks array<long>")
 
 
 @F.pandas_udf(T.IntegerType())
 def hamming(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Differing symbols of two fingerprints."""
-    if not len(a):
-        return pd.Series([], dtype=np.int32)
-    x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
-    return pd.Series((x != y).sum(1).astype(np.int32))
+    """Differing symbols of two fingerprints; of the nearer ones where both codes have two."""
+    size = BLOCKS * WIDTH
+    out = []
+    for x, y in zip(a, b):
+        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        near = int((x[:size] != y[:size]).sum())
+        out.append(min(near, int((x[size:] != y[size:]).sum())) if len(x) == len(y) > size else near)
+    return pd.Series(out, dtype=np.int32)
 
 
 @F.pandas_udf(T.DoubleType())
