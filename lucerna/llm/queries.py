@@ -34,5 +34,13 @@ def queries():
     }
 
 
+P6 = """
+with n as (select count(distinct shader_id) // 10 as n from shader_records),
+r as (select shader_id, max(lower(regexp_replace(source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) || chr(1) || tags_topic[1]) as c from shader_records where shader_id is not null group by 1),
+a as (select split_part(c, chr(1), 1) as source, topic_key, count(*) as have from r join topic_list on topic_name = split_part(c, chr(1), 2) group by 1, 2)
+select target_id from sample_targets t left join a on a.source = lower(t.source) and a.topic_key = t.topic_key, n
+where coalesce(have, 0) < greatest(coalesce(permille, 0) * n // 1000, coalesce(min_rows, 0))"""
+
+
 def oracle_sql():
-    return {}
+    return {"p6_found": P6}
