@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import text as tx
 from lucerna.functions.current import current_rows
 from lucerna.functions.functions_of_code import split_sections
-from lucerna.operators import analysis, chunking, cleaning, evaluation, messages, rules, search
+from lucerna.operators import actions, analysis, chunking, cleaning, evaluation, messages, rules, search
 from lucerna.plans.runtime import materialize, spread
 
 QUERIES: dict = {}
@@ -486,6 +486,44 @@ query("store_counts", "select 'parents' as store, count(distinct shader_id) as n
         table(s, d, "shader_records").agg(F.countDistinct("shader_id").alias("n")).select(F.lit("records").alias("store"), "n")))
 
 
+# ---- agents without a model ----
+
+G4 = tx.GAP
+query("parse_shader", f"""
+select row_id, contains({CODE}, 'mainImage') as has_main, array_to_string(list_filter({list(actions.BUILTINS)}, lambda b: contains({CODE}, b)), ',') as builtins,
+    array_to_string(regexp_extract_all({CODE}, {quoted(f'uniform{G4}+[a-zA-Z_][a-zA-Z0-9_]*{G4}+([a-zA-Z_][a-zA-Z0-9_]*){G4}*;')}, 1), ',') as uniforms, {LINES.format('u')} as lines from (select *, {UNIX} as u from shader_records)""")(
+    lambda s, d: table(s, d, "shader_records").select("row_id", *[(F.array_join(c, ",") if n in ("builtins", "uniforms") else c).alias(n) for n, c in actions.parsed("code_image").items()]))
+query("fallback_techniques", f"""
+with a as (select row_id, lower({CODE}) as c, list_filter(coalesce(key_functions, []), lambda f: f is not null) as f from shader_records), b as (select *, lower(array_to_string(f, ' ')) as n from a),
+x as (select row_id, list_filter([case when contains(c, 'raymarch') or contains(n, 'ro') or contains(n, 'rd') then 'raymarching' end, case when len(list_filter(f, lambda t: starts_with(t, 'sd'))) > 0 then 'sdf' end,
+    case when contains(n, 'noise') or contains(n, 'hash') then 'noise' end, case when contains(c, 'mandelbrot') or contains(c, 'fractal') then 'fractal' end], lambda t: t is not null) as t from b)
+select row_id, case when len(t) = 0 then '2d-pattern' else array_to_string(t, ',') end as techniques from x""")(
+    lambda s, d: table(s, d, "shader_records").select("row_id", F.array_join(actions.fallback_techniques("code_image", "key_functions"), ",").alias("techniques")))
+query("constraints", r"""
+with a as (select doc_id, coalesce(text, '') as t from documents)
+select doc_id, array_to_string(list_concat(list_concat(list_transform(regexp_extract_all(t, '不要用([\x{4e00}-\x{9fa5}A-Za-z0-9 ]{2,30})', 1), lambda x: 'avoid ' || trim(x)), list_transform(regexp_extract_all(t, '<=?[ \t]*([0-9]+)[ \t]*行', 1), lambda x: '<= ' || x || ' lines')),
+    case when contains(lower(t), 'no texture') or contains(t, '无纹理') or contains(t, '不要用纹理') then ['no external textures'] else [] end), ';') as constraints from a""")(
+    lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(actions.constraints("text"), ";").alias("constraints")))
+query("self_critique", f"""
+with a as (select row_id, coalesce(compile_ok, false)::int as ok, {CODE} as c, list_filter(string_split_regex(lower(coalesce(tags_topic[1], '')), '[^a-z0-9]+'), lambda w: w <> '') as w from shader_records)
+select row_id, round((ok + contains(c, 'iTime')::int + len(list_filter(w, lambda x: contains(lower(c), x)))) / (len(w) + 2), 6) as score from a""")(
+    lambda s, d: table(s, d, "shader_records").select("row_id", F.round(actions.critique(F.coalesce("compile_ok", F.lit(False)), "code_image", tx.text(F.get("tags_topic", F.lit(0)))), 6).alias("score")))
+query("base_colour", f"""
+with a as (select row_id, list_filter(list_transform(regexp_extract_all({CODE}, {quoted(actions.VEC3)}, 1), lambda v: list_transform(string_split(v, ','), lambda x: trim(regexp_replace(x, '[ \t\r\n\f]', '', 'g'))::double)),
+    lambda p: len(list_filter(p, lambda x: x > 1)) = 0 and len(list_filter(p, lambda x: x > 0)) > 0) as f from shader_records)
+select row_id, case when len(f) > 0 then f[-1][1] else 0.5::double end as r, case when len(f) > 0 then f[-1][2] else 0.5::double end as g, case when len(f) > 0 then f[-1][3] else 0.5::double end as b from a""")(
+    lambda s, d: busy(s, d, "shader_records").select("row_id", actions.base_colour("code_image").alias("v")).select("row_id", *[F.col("v")[i].alias(c) for i, c in enumerate("rgb")]))
+query("reference_context")(lambda s, d: table(s, d, "shader_records").select("row_id", actions.reference_context("tags_topic", "visual_features", "quality_score", "algorithm_summary", "code_image").alias("context")))
+query("masked_names", """select row_id, case when u = '' then '<unset>' when length(u) <= 4 then repeat('*', length(u)) else substr(u, 1, 4) || '******(len=' || length(u) || ')' end as shown from (select row_id, coalesce(username, '') as u from shader_records)""")(
+    lambda s, d: table(s, d, "shader_records").select("row_id", actions.masked("username").alias("shown")))
+query("call_stats", """
+with a as (select coalesce(kind, '') as kind, sha1(coalesce(title, '')) as key, length(coalesce(title, '')) as i, length(coalesce(text, '')) as o from documents)
+select kind, count(*) as calls, count(*) - count(distinct key) as cached, sum(i) as chars_in, sum(o) as chars_out from a group by 1""")(
+    lambda s, d: actions.call_stats(table(s, d, "documents"), "title", "text", "kind"))
+query("readiness", "select coalesce(source, '') as source, bool_and(coalesce(compile_ok = 1, false)) as ready from parent_docs group by 1")(
+    lambda s, d: actions.readiness(table(s, d, "parent_docs"), "source", "compile_ok"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

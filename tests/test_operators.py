@@ -137,3 +137,13 @@ def test_fusion_edges(spark):
     many = spark.createDataFrame([(1, f"p{i:02d}", 1 - i / 100, "q", "d") for i in range(31)], "query_id long, parent_id string, fused double, query_text string, doc_text string")
     out = {r.parent_id: r.fused for r in search.rerank(many, w).collect()}
     assert out["p30"] == pytest.approx(0.70) and out["p29"] == pytest.approx(0.3 * 0.71) and out["p00"] == pytest.approx(1.0)
+
+
+def test_actions(spark):
+    from lucerna.operators import actions
+
+    row = spark.createDataFrame([("vec3(1.,2.,0.) vec3(.5, 0.25,1.0) vec3(0,0,0) uniform float a;", ["sdBox", "noise1"], "不要用纹理 <= 30 行", 0.5)], "c string, f array<string>, w string, q double").select(
+        actions.base_colour("c").alias("rgb"), actions.fallback_techniques("c", "f").alias("t"), actions.constraints("w").alias("k"), actions.parsed("c")["uniforms"].alias("u"), actions.masked("w").alias("m"),
+        actions.critique(F.lit(True), "c", F.lit("2d a")).alias("s"), actions.reference_context("f", "f", "q", "w", "c").alias("x")).first()
+    assert row.rgb == [0.5, 0.25, 1.0] and row.t == ["sdf", "noise"] and row.k == ["avoid 纹理", "<= 30 lines", "no external textures"] and row.u == ["a"]
+    assert row.m == "不要用纹******(len=13)" and row.s == pytest.approx(0.5) and row.x.startswith("[meta] tags=sdBox, noise1 | visual=sdBox, noise1 | quality=0.50\n\n[algorithm_summary]")
