@@ -26,6 +26,8 @@ BLOCKS, WIDTH = 64, 3
 COMMON = 0.05
 #: A code with a smaller share of uncommon shingles has the second fingerprint too.
 FEW = 0.4
+#: Up to so many ids of codes to compare are sent to all tasks; more are met by a shuffle of the codes.
+FEW_IDS = 500_000
 #: Text bytes hashed at a time; bounds a task's memory.
 CHUNK = 1 << 20
 _U = np.uint64
@@ -162,12 +164,14 @@ def common_shingles(codes: DataFrame) -> np.ndarray:
 def signatures(codes: DataFrame, common: np.ndarray) -> DataFrame:
     """(shader_id, class_id, fingerprint, blocks): class_id is the same for equal shingle sets.
 
-    Codes with fewer than three tokens have no row: they share no sequence with any other.
+    Codes with fewer than three tokens have no row: they share no sequence with any other. Fingerprint and
+    blocks come with the first code of a class in each task only, so a group of copies, however large, enters
+    the block join once for each task.
     """
     shared = codes.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = shared.value
+        common, known = shared.value, set()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
@@ -178,10 +182,15 @@ def signatures(codes: DataFrame, common: np.ndarray) -> DataFrame:
                     continue
                 with np.errstate(over="ignore"):
                     key = np.array([int(np.bitwise_xor.reduce(_mixed(x + _U(len(x)))) & _U(_MASK >> 1)) for x in sets], np.int64)
-                rare = [x[~np.isin(x, common, assume_unique=True)] for x in sets]
-                few = [i for i, (r, x) in enumerate(zip(rare, sets)) if len(r) < FEW * len(x)]
-                low, blocks = _split(_fingerprints([r if len(r) else x for r, x in zip(rare, sets)]), 1)
-                prints, cells = [r.tobytes() for r in low], [b if len(r) else b[:0] for b, r in zip(blocks, rare)]
+                prints: list = [None] * len(sets)
+                cells: list = [None] * len(sets)
+                new = [i for i, k in enumerate(key.tolist()) if not (k in known or known.add(k))]
+                if new:
+                    rare = [sets[i][~np.isin(sets[i], common, assume_unique=True)] for i in new]
+                    low, blocks = _split(_fingerprints([r if len(r) else sets[i] for r, i in zip(rare, new)]), 1)
+                    for i, r, own, b in zip(new, rare, low, blocks):
+                        prints[i], cells[i] = own.tobytes(), b if len(r) else b[:0]
+                few = [i for i, r in zip(new, rare) if len(r) < FEW * len(sets[i])] if new else []
                 if few:
                     low, blocks = _split(_fingerprints([sets[i] for i in few]), 2)
                     for i, own, b in zip(few, low, blocks):
@@ -221,16 +230,17 @@ def linked_classes(records: DataFrame, least: float = 0.6) -> tuple[DataFrame, D
     """(class_a, class_b, similarity) of classes at least ``least`` similar, and (class_id, shader_id) members.
 
     Equal shingle sets form one class first, so groups of copies, however large, meet the block join as one
-    row. Fingerprints may differ in up to 3/4 of their symbols: the exact similarity decides.
+    row. Blocks are moved once, by their own value, which serves the removal of copies and both sides of the
+    join. Fingerprints may differ in up to 3/4 of their symbols: the exact similarity decides.
     """
     codes = spread(coded(records))
     signed = materialize(signatures(codes, common_shingles(codes)))
     members = signed.select("class_id", "shader_id").distinct()
-    classes = materialize(signed.groupBy("class_id").agg(F.min(F.struct("shader_id", "fingerprint", "blocks")).alias("r")).select("class_id", "r.*"))
-    cells = classes.select("class_id", F.explode("blocks").alias("block"))
+    prints = materialize(
+        signed.filter("fingerprint is not null").groupBy("class_id").agg(F.min(F.struct("shader_id", "fingerprint")).alias("r")).select("class_id", "r.fingerprint", "r.shader_id"))
+    cells = signed.select("class_id", F.explode("blocks").alias("block")).repartition("block").dropDuplicates(["block", "class_id"])
     a, b = cells.withColumnRenamed("class_id", "class_a"), cells.withColumnRenamed("class_id", "class_b")
     pairs = a.join(b, "block").filter("class_a < class_b").select("class_a", "class_b").distinct()
-    prints = classes.select("class_id", "fingerprint", "shader_id")
     pairs = (
         pairs.join(prints.toDF("class_a", "print_a", "id_a"), "class_a")
         .join(prints.toDF("class_b", "print_b", "id_b"), "class_b")
@@ -238,7 +248,9 @@ def linked_classes(records: DataFrame, least: float = 0.6) -> tuple[DataFrame, D
         .select("class_a", "class_b", "id_a", "id_b")
     )
     pairs = materialize(pairs)
-    wanted = pairs.select(F.explode(F.array("id_a", "id_b")).alias("shader_id")).distinct()
+    wanted = materialize(pairs.select(F.explode(F.array("id_a", "id_b")).alias("shader_id")).distinct())
+    if wanted.count() <= FEW_IDS:
+        wanted = F.broadcast(wanted)
     texts = coded(records).join(wanted, "shader_id", "left_semi").groupBy("shader_id").agg(F.max("code_image").alias("code"))
     texts = materialize(texts)
     links = (
