@@ -63,11 +63,11 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int, k1: flo
     return texts.join(scored, "qtext").select("query_id", "chunk_id", "score", "rank")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = None, block: int = 1024) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = None, block: int = 8192) -> DataFrame:
     """(query_id, id, distance, rank): exact cosine neighbours of every query among all vectors, itself left out.
 
-    Queries and vectors are packed into blocks; each pair of blocks is one matrix product that keeps ``k``
-    rows per query, and the final rank sees k rows per query and block. ``same``: a column of both sides that
+    Queries and vectors are packed into blocks; each pair of blocks is a few matrix products that keep ``k``
+    rows per query (and those equal to the last), and the final rank sees those of every block. ``same``: a column of both sides that
     must be equal (a filter before the search). Null and zero vectors have no neighbours.
     """
 
@@ -77,7 +77,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = N
         return rows.groupBy(name).agg(F.collect_list("r").alias(name + "_rows"))
 
     wide = max(1, -(-vectors.count() // block))
-    long = max(1, -(-queries.count() // block))
+    long = max(1, -(-queries.count() // 1024))
     left = packed(queries, "query_id", "qb", long).select("qb_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long"))).alias("vb"))
     right = packed(vectors, "id", "vb", wide)
 
@@ -94,14 +94,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = N
                 vid, vsame, v = matrix(vs)
                 if not len(qid) or not len(vid):
                     continue
-                d = np.round(1.0 - q @ v.T, 9)
-                d[qid[:, None] == vid[None, :]] = np.inf
-                if same:
-                    d[qsame[:, None] != vsame[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(vid, d.shape), d), axis=1)[:, :k]
-                best = np.take_along_axis(d, order, 1)
-                out = pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "id": vid[order].ravel(), "distance": best.ravel()})
-                yield out[np.isfinite(out["distance"])]
+                for at in range(0, len(qid), 256):
+                    ids, d = qid[at : at + 256], np.round(1.0 - q[at : at + 256] @ v.T, 9)
+                    d[ids[:, None] == vid[None, :]] = np.inf
+                    if same:
+                        d[qsame[at : at + 256, None] != vsame[None, :]] = np.inf
+                    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
+                    row, col = np.nonzero((d <= last) & np.isfinite(d))
+                    yield pd.DataFrame({"query_id": ids[row], "id": vid[col], "distance": d[row, col]})
 
     near = left.join(right, "vb").select("qb_rows", "vb_rows").mapInPandas(run, "query_id long, id long, distance double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
