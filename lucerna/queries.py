@@ -133,7 +133,7 @@ def _(s, d):
     own = table(s, d, "shader_records").filter("shader_id is not null").groupBy(F.col("shader_id").alias("parent_id")).agg(code.alias("own"))
     stored = table(s, d, "parent_docs").groupBy(F.col("shader_id").alias("parent_id")).agg(code.alias("stored"))
     rows = table(s, d, "documents").select("doc_id", "parent_id", "text").join(own, "parent_id", "left").join(stored, "parent_id", "left")
-    return rows.select("doc_id", F.length(F.coalesce("own", "stored", "text", F.lit(""))).alias("chars"), (F.col("own").isNull() & F.col("stored").isNull()).alias("is_excerpt"))
+    return rows.select("doc_id", F.length(F.coalesce("own", "stored", "text", F.lit(""))).cast("long").alias("chars"), (F.col("own").isNull() & F.col("stored").isNull()).alias("is_excerpt"))
 
 
 # ---- tags, quality, reports ----
@@ -173,9 +173,9 @@ select row_id, l || ' lines; topics: ' || case when t = '' then 'uncategorized'
 from (select *, array_to_string({NOTNULL.format('tags_topic')}, ', ') as t, list_filter(coalesce(key_functions, []), lambda f: f is not null and f <> 'mainImage')[1:5] as f from {SCORE})""")(
     lambda s, d: busy(s, d, "shader_records").select("row_id", analysis.summary_text().alias("summary")))
 query("corpus_summary", f"""
-select count(*) as n, count_if(coalesce(compile_ok, false)) as compile_ok, count_if(coalesce(render_ok, false)) as render_ok, count_if(coalesce(is_generator, true)) as generators, count_if(coalesce(reference_only, false)) as reference_only,
+select count(*) as n, count_if(coalesce(compile_ok, false))::bigint as compile_ok, count_if(coalesce(render_ok, false))::bigint as render_ok, count_if(coalesce(is_generator, true))::bigint as generators, count_if(coalesce(reference_only, false))::bigint as reference_only,
     round(coalesce(avg(quality_score) filter (where quality_score::varchar <> 'nan'), 0), 6) as avg_quality,
-    count_if(len(list_filter(coalesce(tags_topic, []), lambda t: t is not null and t <> 'uncategorized')) >= 2) as multi_tag,
+    count_if(len(list_filter(coalesce(tags_topic, []), lambda t: t is not null and t <> 'uncategorized')) >= 2)::bigint as multi_tag,
     (select round(max(n) / sum(n), 6) from (select count(*) as n from (select unnest(tags_topic) as t from shader_records) where t is not null group by t)) as top_share from shader_records""")(
     lambda s, d: analysis.corpus_summary(table(s, d, "shader_records")))
 query("topic_gini", """
@@ -201,9 +201,9 @@ select concat_ws('::', p, kind) as chunk_id, p as parent_id, kind, kind as title
 query("chunk_functions")(lambda s, d: chunking.function_chunks(busy(s, d, "shader_records")))
 query("code_sections")(lambda s, d: table(s, d, "shader_records").filter("code_image is not null").select("row_id", F.explode(split_sections("code_image")).alias("title", "code")))
 query("comment_strip", f"""select row_id, length(regexp_replace(regexp_replace({CODE}, '/\\*[\\s\\S]*?\\*/', '', 'g'), '//[^\\n]*', '', 'g')) as chars from shader_records""")(
-    lambda s, d: table(s, d, "shader_records").select("row_id", F.length(tx.without_comments("code_image")).alias("chars")))
+    lambda s, d: table(s, d, "shader_records").select("row_id", F.length(tx.without_comments("code_image")).cast("long").alias("chars")))
 query("line_counts", f"select row_id, {LINES.format('u')} as lines from (select row_id, {UNIX} as u from shader_records)")(
-    lambda s, d: table(s, d, "shader_records").select("row_id", tx.line_count("code_image").alias("lines")))
+    lambda s, d: table(s, d, "shader_records").select("row_id", tx.line_count("code_image").cast("long").alias("lines")))
 query("duplicate_suffix", """select doc_id, parent_id, coalesce(title, '') || case when r > 1 then '_' || (r - 1) else '' end as title
     from (select *, row_number() over (partition by parent_id, coalesce(title, '') order by doc_id) as r from documents where parent_id is not null)""")(
     lambda s, d: table(s, d, "documents").filter("parent_id is not null").withColumn("r", F.row_number().over(Window.partitionBy("parent_id", tx.text("title")).orderBy("doc_id"))).select(
@@ -219,7 +219,7 @@ query("request_keys", "select doc_id, sha1('chat|0.2|false|' || coalesce(kind, '
 query("brief_text", "select doc_id, case when length(t) > 80 then substr(t, 1, 80) || '...' else t end as brief from (select doc_id, replace(coalesce(text, ''), chr(10), ' ') as t from documents)")(
     lambda s, d: table(s, d, "documents").select("doc_id", tx.brief("text").alias("brief")))
 query("flat_metadata", f"""select row_id, array_to_string({NOTNULL.format('tags_topic')}, ',') as tags, array_to_string({NOTNULL.format('key_functions')}, ',') as functions, length({CODE}) as code_chars from shader_records""")(
-    lambda s, d: table(s, d, "shader_records").select("row_id", chunking._joined("tags_topic", ",").alias("tags"), chunking._joined("key_functions", ",").alias("functions"), F.length(tx.text("code_image")).alias("code_chars")))
+    lambda s, d: table(s, d, "shader_records").select("row_id", chunking._joined("tags_topic", ",").alias("tags"), chunking._joined("key_functions", ",").alias("functions"), F.length(tx.text("code_image")).cast("long").alias("code_chars")))
 
 # ---- rules ----
 
@@ -247,7 +247,7 @@ select row_id, array_to_string(v, ',') as rules, len(list_filter(v, lambda x: x
 def _(s, d):
     v = busy(s, d, "shader_records").select("row_id", rules.check("code_image").alias("v"))
     n = F.size(rules.errors_of(F.col("v")))
-    return v.select("row_id", F.array_join(F.transform("v", lambda x: x["rule_id"]), ",").alias("rules"), n.alias("n_error"), (n == 0).alias("passed"))
+    return v.select("row_id", F.array_join(F.transform("v", lambda x: x["rule_id"]), ",").alias("rules"), n.cast("long").alias("n_error"), (n == 0).alias("passed"))
 
 STRIPPED = f"regexp_replace(regexp_replace({CODE}, '/\\*[\\s\\S]*?\\*/', '', 'g'), '//[^\\n]*', '', 'g')"
 query("convention_score", f"""
@@ -258,7 +258,7 @@ select row_id, round((case when regexp_matches(c, {quoted(rules.STRICT)}) then 1
     + case when {counted('c', '{')} = {counted('c', '}')} and {counted('c', '(')} = {counted('c', ')')} then 1 else 0 end) / 5.0::double, 4) as score from a""")(
     lambda s, d: busy(s, d, "shader_records").select("row_id", F.round(rules.convention("code_image"), 4).alias("score")))
 query("bracket_balance", f"select row_id, {counted('c', '{')} - {counted('c', '}')} as braces, {counted('c', '(')} - {counted('c', ')')} as parens from (select row_id, {STRIPPED} as c from shader_records)")(
-    lambda s, d: busy(s, d, "shader_records").withColumn("c", tx.without_comments("code_image")).select("row_id", (tx.count_of(F.col("c"), "{") - tx.count_of(F.col("c"), "}")).alias("braces"), (tx.count_of(F.col("c"), "(") - tx.count_of(F.col("c"), ")")).alias("parens")))
+    lambda s, d: busy(s, d, "shader_records").withColumn("c", tx.without_comments("code_image")).select("row_id", (tx.count_of(F.col("c"), "{") - tx.count_of(F.col("c"), "}")).cast("long").alias("braces"), (tx.count_of(F.col("c"), "(") - tx.count_of(F.col("c"), ")")).cast("long").alias("parens")))
 query("render_support", f"""select row_id, not regexp_matches({CODE}, {quoted(f'{B}(?:iChannel[0-9]|sampler(?:2D|Cube|3D)){E}')}) as renders,
     regexp_matches({CODE}, {quoted(rf'{B}void{G}+main(?:Image)?{G}*\(')}) and not regexp_matches({CODE}, {quoted(rf'{B}vec3{G}+{WORDS}{G}*={G}*vec4{G}*\(')}) as compiles from shader_records""")(
     lambda s, d: busy(s, d, "shader_records").select("row_id", rules.renderable("code_image").alias("renders"), rules.mock_compiles("code_image").alias("compiles")))
@@ -425,7 +425,7 @@ select query_id, id, round(fused, 4) as fused, round(vec, 4) as vec, round(bm25,
 query("best_chunk_per_parent", """select parent_id, kind, doc_id, n from (select parent_id, coalesce(kind, '') as kind, doc_id, length(coalesce(text, '')) as n, row_number() over (partition by parent_id, coalesce(kind, '') order by length(coalesce(text, '')) desc, doc_id) as r
     from documents where parent_id is not null) where r = 1""")(
     lambda s, d: table(s, d, "documents").filter("parent_id is not null").groupBy("parent_id", tx.text("kind").alias("kind")).agg(F.max(F.struct(F.length(tx.text("text")).alias("n"), (-F.col("doc_id")).alias("m"))).alias("b")).select(
-        "parent_id", "kind", (-F.col("b.m")).alias("doc_id"), F.col("b.n").alias("n")))
+        "parent_id", "kind", (-F.col("b.m")).alias("doc_id"), F.col("b.n").cast("long").alias("n")))
 
 # ---- evaluation, messages ----
 
@@ -433,7 +433,7 @@ MET = "list_filter(coalesce(metrics, []), lambda m: m is not null)"
 query("eval_report", f"""
 with a as (select coalesce(task, '') as task, elapsed_ms, coalesce(ok, false) and len(list_filter({MET}, lambda m: not coalesce(m.success, false))) = 0 as passed,
     case when len({MET}) > 0 then list_sum(list_transform({MET}, lambda m: coalesce(m.score, 0))) / len({MET}) else 0 end as ms from eval_cases)
-select task, count(*) as n_cases, count_if(passed) as n_passed, round(avg(passed::int), 6) as pass_rate, round(avg(ms), 6) as mean_score, round(coalesce(avg(elapsed_ms), 0), 4) as avg_latency_ms from a group by 1""")(
+select task, count(*) as n_cases, count_if(passed)::bigint as n_passed, round(avg(passed::int), 6) as pass_rate, round(avg(ms), 6) as mean_score, round(coalesce(avg(elapsed_ms), 0), 4) as avg_latency_ms from a group by 1""")(
     lambda s, d: evaluation.report(table(s, d, "eval_cases")))
 query("eval_by_metric", """select name, round(avg(score), 4) as mean, round(min(score), 4) as low, round(max(score), 4) as high, count(*) as n from (select unnest(metrics, recursive := true) from eval_cases) where name is not null and score is not null and score::varchar <> 'nan' group by 1""")(
     lambda s, d: evaluation.by_metric(table(s, d, "eval_cases")))
@@ -447,7 +447,7 @@ query("perf_gate", """
 with a as (select coalesce(task, '') as task, avg((not coalesce(ok, false))::int) as f, coalesce(quantile_cont(elapsed_ms, 0.95), 0) as p from eval_cases group by 1)
 select task, round(f, 6) as fail_ratio, round(p, 4) as p95, f <= 0.02 and p <= 5000 as ok from a""")(
     lambda s, d: evaluation.gate(table(s, d, "eval_cases")))
-query("json_props", "select event_type, count(*) as n, sum(json_extract_string(props, '$.k')::bigint) as k from events group by 1")(
+query("json_props", "select event_type, count(*) as n, sum(json_extract_string(props, '$.k')::bigint)::bigint as k from events group by 1")(
     lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k")))
 query("latest_messages", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r <= 5")(
     lambda s, d: messages.latest(table(s, d, "events"), "user_id", ["ts", "event_id"], 5).select("user_id", "event_id"))
@@ -492,7 +492,7 @@ G4 = tx.GAP
 query("parse_shader", f"""
 select row_id, contains({CODE}, 'mainImage') as has_main, array_to_string(list_filter({list(actions.BUILTINS)}, lambda b: contains({CODE}, b)), ',') as builtins,
     array_to_string(regexp_extract_all({CODE}, {quoted(f'uniform{G4}+[a-zA-Z_][a-zA-Z0-9_]*{G4}+([a-zA-Z_][a-zA-Z0-9_]*){G4}*;')}, 1), ',') as uniforms, {LINES.format('u')} as lines from (select *, {UNIX} as u from shader_records)""")(
-    lambda s, d: table(s, d, "shader_records").select("row_id", *[(F.array_join(c, ",") if n in ("builtins", "uniforms") else c).alias(n) for n, c in actions.parsed("code_image").items()]))
+    lambda s, d: table(s, d, "shader_records").select("row_id", *[(F.array_join(c, ",") if n in ("builtins", "uniforms") else c.cast("long") if n == "lines" else c).alias(n) for n, c in actions.parsed("code_image").items()]))
 query("fallback_techniques", f"""
 with a as (select row_id, lower({CODE}) as c, list_filter(coalesce(key_functions, []), lambda f: f is not null) as f from shader_records), b as (select *, lower(array_to_string(f, ' ')) as n from a),
 x as (select row_id, list_filter([case when contains(c, 'raymarch') or contains(n, 'ro') or contains(n, 'rd') then 'raymarching' end, case when len(list_filter(f, lambda t: starts_with(t, 'sd'))) > 0 then 'sdf' end,
@@ -518,7 +518,7 @@ query("masked_names", """select row_id, case when u = '' then '<unset>' when len
     lambda s, d: table(s, d, "shader_records").select("row_id", actions.masked("username").alias("shown")))
 query("call_stats", """
 with a as (select coalesce(kind, '') as kind, sha1(coalesce(title, '')) as key, length(coalesce(title, '')) as i, length(coalesce(text, '')) as o from documents)
-select kind, count(*) as calls, count(*) - count(distinct key) as cached, sum(i) as chars_in, sum(o) as chars_out from a group by 1""")(
+select kind, count(*) as calls, count(*) - count(distinct key) as cached, sum(i)::bigint as chars_in, sum(o)::bigint as chars_out from a group by 1""")(
     lambda s, d: actions.call_stats(table(s, d, "documents"), "title", "text", "kind"))
 query("readiness", "select coalesce(source, '') as source, bool_and(coalesce(compile_ok = 1, false)) as ready from parent_docs group by 1")(
     lambda s, d: actions.readiness(table(s, d, "parent_docs"), "source", "compile_ok"))
