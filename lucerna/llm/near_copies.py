@@ -1,10 +1,9 @@
 """Problem 5: records whose code was derived from other records by small edits.
 
-Fingerprint: ``BLOCKS * WIDTH`` min-hash symbols over a code's uncommon three-token shingles. It is split into
-``BLOCKS`` blocks; by the pigeonhole principle two fingerprints with fewer than ``BLOCKS`` differing symbols
-share a block, so joining on blocks finds them; closer ones share many. A code in which few shingles are
-uncommon has a second fingerprint over all its shingles, split into wider blocks. Candidates are verified by
-the Hamming distance of their fingerprints, then by the exact similarity.
+Fingerprint: ``SYMBOLS`` min-hash symbols over all of a code's three-token shingles, common ones too. ``BLOCKS``
+blocks of ``WIDTH`` symbols each are drawn from it, and codes that agree in a block are candidates: of the pairs
+of similarity 0.6 about 3 in 10,000 share none, of those of 0.65 about 5 in a million. Candidates are verified by
+the Hamming distance of one bit of each symbol, then by the exact similarity.
 """
 
 from __future__ import annotations
@@ -14,18 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lucerna.functions.code_text import without_comments
 from lucerna.plans.runtime import materialize, spread
 
-BLOCKS, WIDTH = 64, 3
-#: A shingle is common if it is in at least this share of the codes of a task's sample of all codes.
-COMMON = 0.05
-#: A code with a smaller share of uncommon shingles has the second fingerprint too.
-FEW = 0.4
+SYMBOLS, BLOCKS, WIDTH = 256, 256, 6
+#: Differing bits of two fingerprints at similarity 0.6 are 51 on average; beyond this are 5 in 10 million.
+FAR = 84
 #: Up to so many ids of codes to compare are sent to all tasks; more are met by a shuffle of the codes.
 FEW_IDS = 500_000
 #: Text bytes hashed at a time; bounds a task's memory.
@@ -109,69 +106,38 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fingerprints(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of BLOCKS * WIDTH min-hash values for each (not empty) set."""
-    xs, ms = _seeds(BLOCKS * WIDTH)
+    """One row of SYMBOLS min-hash symbols of one byte for each (not empty) set."""
+    xs, ms = _seeds(SYMBOLS)
     x = np.concatenate(sets)
     offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    out = np.empty((len(sets), BLOCKS * WIDTH), _U)
+    out = np.empty((len(sets), SYMBOLS), np.uint8)
     with np.errstate(over="ignore"):
-        for k in range(BLOCKS * WIDTH):
-            out[:, k] = np.minimum.reduceat((x ^ xs[k]) * ms[k], offsets)
+        for k in range(SYMBOLS):
+            out[:, k] = _mixed(np.minimum.reduceat((x ^ xs[k]) * ms[k], offsets)) & _U(255)
     return out
 
 
-def _split(values: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of one byte, and a hash of each block; ``wide`` neighbouring blocks count as one."""
+def _blocks(prints: np.ndarray) -> np.ndarray:
+    """One row of BLOCKS values for each fingerprint: the number of the block and its symbols, mixed one to one."""
+    rng = np.random.default_rng(6)
+    drawn = np.array([rng.choice(SYMBOLS, WIDTH, replace=False) for _ in range(BLOCKS)])
+    out = np.tile(np.arange(BLOCKS, dtype=_U), (len(prints), 1))
     with np.errstate(over="ignore"):
-        low = _mixed(values)
-        parts = low.reshape(len(values), BLOCKS, WIDTH)
-        blocks = np.zeros((len(values), BLOCKS), _U)
         for w in range(WIDTH):
-            blocks = _mixed(blocks * _U(_BASE) + parts[:, :, w])
-        one = blocks
-        for k in range(1, wide):
-            blocks = _mixed(blocks + _mixed(np.roll(one, k, 1)))
-        blocks = _mixed(blocks + np.arange(BLOCKS, dtype=_U) + _U(1000 * wide))
-    return (low & _U(255)).astype(np.uint8), blocks.astype(np.int64)
+            out = (out << _U(8)) | prints[:, drawn[:, w]]
+        return _mixed(out).astype(np.int64)
 
 
-def common_shingles(codes: DataFrame) -> np.ndarray:
-    """Hashes of the shingles that at least COMMON of all codes contain, up to how the tasks divide the rows.
-
-    Each task counts its own codes and passes on the shingles above half of COMMON there; the counts are
-    summed in Spark. At most average set size / COMMON shingles can pass, so the array that is broadcast is
-    bounded whatever the corpus size. The set only steers the search for candidates, the same for all codes.
-    """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, seen, times = 0, np.zeros(0, _U), np.zeros(0, np.int64)
-        for batch in batches:
-            parts, n = shingle_sets(batch["code_image"].tolist()), n + len(batch)
-            h, c = np.unique(np.concatenate([seen.repeat(0), *parts]) if parts else seen[:0], return_counts=True)
-            seen, where = np.unique(np.concatenate((seen, h)), return_inverse=True)
-            times = np.bincount(where, np.concatenate((times, c)), len(seen)).astype(np.int64)
-            keep = times * 50 >= n * COMMON  # what a fiftieth of the bound can't reach is dropped early
-            seen, times = seen[keep], times[keep]
-        keep = times >= max(2, n * COMMON / 2)
-        yield pd.DataFrame({"h": np.append(seen[keep].astype(np.int64), 0), "n": np.append(times[keep], n), "total": [False] * int(keep.sum()) + [True]})
-
-    sums = codes.select("code_image").mapInPandas(count, "h long, n long, total boolean").groupBy("h", "total").agg(F.sum("n").alias("n"))
-    rows = materialize(sums)
-    total = rows.filter("total").agg(F.sum("n")).first()[0] or 0
-    return np.sort(np.array([r[0] for r in rows.filter(~F.col("total") & (F.col("n") >= max(3.0, COMMON * total))).select("h").collect()], np.int64).astype(_U))
-
-
-def signatures(codes: DataFrame, common: np.ndarray) -> DataFrame:
-    """(shader_id, class_id, fingerprint, blocks): class_id is the same for equal shingle sets.
+def signatures(codes: DataFrame) -> DataFrame:
+    """(shader_id, class_id, fingerprint, bits): class_id is the same for equal shingle sets.
 
     Codes with fewer than three tokens have no row: they share no sequence with any other. Fingerprint and
-    blocks come with the first code of a class in each task only, so a group of copies, however large, enters
-    the block join once for each task.
+    bits (one of each symbol) come with the first code of a class in each task only, so a group of copies,
+    however large, enters the block join once for each task.
     """
-    shared = codes.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, known = shared.value, set()
+        known: set[int] = set()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
@@ -183,34 +149,33 @@ def signatures(codes: DataFrame, common: np.ndarray) -> DataFrame:
                 with np.errstate(over="ignore"):
                     key = np.array([int(np.bitwise_xor.reduce(_mixed(x + _U(len(x)))) & _U(_MASK >> 1)) for x in sets], np.int64)
                 prints: list = [None] * len(sets)
-                cells: list = [None] * len(sets)
+                bits: list = [None] * len(sets)
                 new = [i for i, k in enumerate(key.tolist()) if not (k in known or known.add(k))]
                 if new:
-                    rare = [sets[i][~np.isin(sets[i], common, assume_unique=True)] for i in new]
-                    low, blocks = _split(_fingerprints([r if len(r) else sets[i] for r, i in zip(rare, new)]), 1)
-                    for i, r, own, b in zip(new, rare, low, blocks):
-                        prints[i], cells[i] = own.tobytes(), b if len(r) else b[:0]
-                few = [i for i, r in zip(new, rare) if len(r) < FEW * len(sets[i])] if new else []
-                if few:
-                    low, blocks = _split(_fingerprints([sets[i] for i in few]), 2)
-                    for i, own, b in zip(few, low, blocks):
-                        prints[i] += own.tobytes()
-                        cells[i] = np.concatenate((cells[i], b))
-                yield pd.DataFrame({"shader_id": ids, "class_id": key, "fingerprint": prints, "blocks": cells})
-
-    return codes.select("shader_id", "code_image").mapInPandas(sign, "shader_id string, class_id long, fingerprint binary, blocks array<long>")
-
-
-@F.pandas_udf(T.IntegerType())
-def hamming(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Differing symbols of two fingerprints; of the nearer ones where both codes have two."""
-    size = BLOCKS * WIDTH
-    out = []
-    for x, y in zip(a, b):
-        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-        near = int((x[:size] != y[:size]).sum())
-        out.append(min(near, int((x[size:] != y[size:]).sum())) if len(x) == len(y) > size else near)
-    return pd.Series(out, dtype=np.int32)
+                    low = _fingerprints([sets[i] for i in new])
+                    for i, own, b in zip(new, low, np.packbits(low & 1, axis=1).view(np.int64)):
+                        prints[i], bits[i] = own.tobytes(), b
+                yield pd.DataFrame({"shader_id": ids, "class_id": key, "fingerprint": prints, "bits": bits})
+
+    return codes.select("shader_id", "code_image").mapInPandas(sign, "shader_id string, class_id long, fingerprint binary, bits array<long>")
+
+
+def block_rows(signed: DataFrame) -> DataFrame:
+    """(class_id, block) of all fingerprints; made from them when read, as they are a tenth of the size."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                blocks = _blocks(np.frombuffer(b"".join(part["fingerprint"]), np.uint8).reshape(-1, SYMBOLS))
+                yield pd.DataFrame({"class_id": part["class_id"].to_numpy().repeat(BLOCKS), "block": blocks.ravel()})
+
+    return signed.filter("fingerprint is not null").select("class_id", "fingerprint").mapInPandas(cut, "class_id long, block long")
+
+
+def hamming(a: str, b: str) -> Column:
+    """Differing bits of two fingerprints."""
+    return sum(F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SYMBOLS // 64))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -231,20 +196,20 @@ def linked_classes(records: DataFrame, least: float = 0.6) -> tuple[DataFrame, D
 
     Equal shingle sets form one class first, so groups of copies, however large, meet the block join as one
     row. Blocks are moved once, by their own value, which serves the removal of copies and both sides of the
-    join. Fingerprints may differ in up to 3/4 of their symbols: the exact similarity decides.
+    join. Fingerprints may differ in up to FAR bits: the exact similarity decides.
     """
     codes = spread(coded(records))
-    signed = materialize(signatures(codes, common_shingles(codes)))
+    signed = materialize(signatures(codes))
     members = signed.select("class_id", "shader_id").distinct()
     prints = materialize(
-        signed.filter("fingerprint is not null").groupBy("class_id").agg(F.min(F.struct("shader_id", "fingerprint")).alias("r")).select("class_id", "r.fingerprint", "r.shader_id"))
-    cells = signed.select("class_id", F.explode("blocks").alias("block")).repartition("block").dropDuplicates(["block", "class_id"])
+        signed.filter("fingerprint is not null").groupBy("class_id").agg(F.min(F.struct("shader_id", "bits")).alias("r")).select("class_id", "r.bits", "r.shader_id"))
+    cells = block_rows(signed).repartition("block").dropDuplicates(["block", "class_id"])
     a, b = cells.withColumnRenamed("class_id", "class_a"), cells.withColumnRenamed("class_id", "class_b")
     pairs = a.join(b, "block").filter("class_a < class_b").select("class_a", "class_b").distinct()
     pairs = (
-        pairs.join(prints.toDF("class_a", "print_a", "id_a"), "class_a")
-        .join(prints.toDF("class_b", "print_b", "id_b"), "class_b")
-        .filter(hamming("print_a", "print_b") <= BLOCKS * WIDTH * 3 // 4)
+        pairs.join(prints.toDF("class_a", "bits_a", "id_a"), "class_a")
+        .join(prints.toDF("class_b", "bits_b", "id_b"), "class_b")
+        .filter(hamming("bits_a", "bits_b") <= FAR)
         .select("class_a", "class_b", "id_a", "id_b")
     )
     pairs = materialize(pairs)

@@ -75,3 +75,14 @@ def test_empty_and_long(spark):
 @pytest.mark.parametrize("a, b, want", [("a b c", "a b c", 1.0), ("a b c d", "a b c e", 1 / 3), ("", "", 0.0)])
 def test_similarity(spark, a, b, want):
     assert spark.createDataFrame([(a, b)], "a string, b string").select(n.similarity("a", "b")).first()[0] == pytest.approx(want)
+
+
+def test_codes_grown_from_one_base(spark):
+    """A third of all codes share the base, so most of their shingles are common."""
+    rng = random.Random(4)
+    lines = lambda k: [f"w{rng.randint(0, 10**6)} = {rng.choice(['sin', 'cos', 'abs'])}({rng.random():.6f} * w{rng.randint(0, 10**6)});" for _ in range(k)]
+    base = lines(40)
+    rows = [(f"g{i:03d}", "\n".join([*base, *lines(rng.randint(2, 26))])) for i in range(60)] + [(f"o{i:03d}", "\n".join(lines(40))) for i in range(120)]
+    sets = {s: plain(c) for s, c in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    assert len(want) > 500 and {tuple(r) for r in n.found(spark.createDataFrame(rows, "shader_id string, code_image string")).collect()} == want
