@@ -32,12 +32,16 @@ KANA = re.compile(r"[぀-ヿ]")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+(?=[^\W\d_a-zа-я]|\Z)|(?<=[。！？])")
 CODE = re.compile(r"[;{}=<>\\|~^]|\w\(|\w\.\w|\w_\w|\+\+|--|&&|https?:|www\.|@\w+\.")
+#: Addresses, calls and names within running words, and signs that prose has too: blanked before CODE is looked for.
+FRAGMENT = re.compile(r"(?:https?:|www\.)\S+|\S+@\w+\.\S+|\b\w+\([^(){};=]{0,60}\)|\b\w+(?:[._]\w+)+\b|(?<=[^\W\d_]{2});(?=\s+[^\W\d_])|(?<=\s)\|(?=\s)")
 CREDIT = re.compile(r"\s*(?:@(?:author|license|version|param|return|see|date)\b|(?:created|written|made|coded|ported)? ?by\b|authors?\b\s*:?|credits?\b|\(c\)|©|copyright\b|spdx\b)", re.I)
 #: Words of license statements, which are left out: they are no prose of the file's author.
 LICENSE = re.compile(
     r"licen[scz]|lizenz|licença|лиценз|ライセンス|许可|copyright|rights reserved|rechte vorbehalten|droits réservés|derechos reservados|direitos reservados|diritti riservati|prawa zastrzeżone"
-    r"|права защищены|版权|public domain|gemeinfrei|\b(?:terms of|permission|confidential|proprietary|no warranty|ohne gewähr|released under|reuse this file|mit|expat|apache|w?gpl\w*|lgpl\w*|bsd|mpl|zlib|cc0|cc[ -]by|creative commons|cc)\b",
+    r"|права защищены|版权|public domain|gemeinfrei|\b(?:(?<!in )terms of|permission (?:is|notice|to (?:use|copy|modify|distribute|reuse))|(?:written|prior|without) permission|confidential|proprietary|no warranty|ohne gewähr|released under|reuse this file|apache|w?gpl\w*|lgpl\w*|bsd|mpl|zlib|cc0|cc[ -]by|creative commons)\b",
     re.I)
+#: Names that are words or parts of words of a language in other letter case.
+NAMED = re.compile(r"\b(?:MIT|CC|Expat|EXPAT)\b")
 MARK = re.compile(r"^(?:[/*!\s#-]*)(?:@(?:brief|note|details?|todo|remark)\b\s*)?", re.I)
 
 
@@ -64,8 +68,13 @@ def passages(code: str) -> Iterator[str]:
 
 def is_sentence(text: str) -> bool:
     """Running words of a language: no switched-off code, name, tag, credit, address or key."""
-    if CODE.search(text) or CREDIT.match(text) or LICENSE.search(text):
+    if CREDIT.match(text) or LICENSE.search(text) or (NAMED.search(text) and not text.isupper()):
         return False
+    if CODE.search(text):
+        rest = FRAGMENT.sub(" ", text)
+        if CODE.search(rest) or 2 * len(rest.replace(" ", "")) < len(text.replace(" ", "")):
+            return False
+        text = rest
     if len(WIDE.findall(text)) >= 5:
         return True
     words = WORD.findall(text)

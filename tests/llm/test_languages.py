@@ -47,3 +47,12 @@ def test_held_out(spark, data):
     frames = {EN: "en", DE: "de", FR: "fr", "Este valor decide cuánto cubre el brillo a la segunda capa.": "es", "Ainda não sei por que a borda não fica certo nas laterais.": "pt", "Questo valore decide quanto il disegno copre la luce.": "it",
               "Nadal nie wiem, czemu światło nie zgadza się przy krawędzi.": "pl", "Без этой строки волна через минуту начинает мерцать.": "ru", ZH: "zh", JA: "ja", "Ohne diese Zeile wuerde das Leuchten flackern.": "de"}
     assert {t: la.classify(t, model) for t in frames} == frames
+
+
+def test_words_that_are_licenses_or_code_elsewhere():
+    from lucerna.llm.languages import is_sentence
+
+    for s in ("Der Rand wird mit dem Rauschen gemischt.", "In terms of cost the loop is the slow part.", "We fold the wave first; it is cheaper than to blend it.", "The method is told at https://example.org/a_b and used here.", "The value of smoothstep(a, b, x) is kept for the edge here."):
+        assert is_sentence(s), s
+    for s in ("This shader is under MIT as all others here.", "float d = length(p); d += 1.0;", "return mix(a, b, t);", "https://example.org/some/long/path", "Permission is hereby granted to use this file.", "uv.x uv.y col.rgb base_color some_name"):
+        assert not is_sentence(s), s
