@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lucerna.functions.functions_of_code import body_end
 from lucerna.functions.text import GAP, clip, line_count, text
 
 #: Variables the host gives to every shader.
@@ -63,14 +68,58 @@ def base_colour(code) -> Column:
     return F.when(F.size(fit) > 0, F.element_at(fit, -1)).otherwise(F.array(*[F.lit(0.5)] * 3))
 
 
-def reference_context(tags: str, features: str, quality: str, summary: str, code: str, most: int = 3600) -> Column:
-    """Reference text of a hit: topics and quality, its summary, its code, cut to ``most`` characters."""
+def _clip(t: str, limit: int) -> str:
+    return t if len(t) <= limit else t[:limit].rstrip() + "\n// ..."
+
+
+def _snippet(code: str, name: str, limit: int) -> str:
+    """The first definition of a function up to the brace that closes it, or to the end if none does."""
+    if not name or not (m := re.search(r"\b[A-Za-z_][A-Za-z0-9_]*\s+" + re.escape(name) + r"\s*\([^;{}]*\)\s*\{", code)):
+        return ""
+    return _clip(code[m.start() : body_end(code, m.end() - 1)], limit)
+
+
+def context_sections(code: str | None, names, matched=None) -> str:
+    """Matched chunks (functions first, then by score), mainImage and the first three key functions of a code."""
+    code, parts, titles = code or "", [], set()
+    ranked = sorted([] if matched is None else matched, key=lambda x: (x["kind"] != "function", -(x["score"] or 0.0)))
+    for chunk in ranked[:4]:
+        kind = chunk["kind"] or "chunk"
+        title = chunk["title"] or kind
+        if (own := (chunk["text"] or "").strip()) and (kind, title) not in titles:
+            titles.add((kind, title))
+            parts.append(f"[matched_{kind}: {title}]\n" + _clip(own, 1500))
+    if ("function", "mainImage") not in titles and "function mainImage" not in "\n".join(parts) and (own := _snippet(code, "mainImage", 1400)):
+        parts.append("[context: mainImage]\n" + own)
+    for name in ([] if names is None else list(names))[:3]:
+        if ("function", name) not in titles and (own := _snippet(code, name, 1200)):
+            parts.append(f"[context: key_function {name}]\n" + own)
+    return "\n\n".join(parts)
+
+
+@F.pandas_udf(T.StringType())
+def _sections(code: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([context_sections(c, n) for c, n in zip(code, names)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _hit_sections(code: pd.Series, names: pd.Series, matched: pd.Series) -> pd.Series:
+    return pd.Series([context_sections(c, n, m) for c, n, m in zip(code, names, matched)], dtype=object)
+
+
+def reference_context(tags: str, features: str, quality: str, summary: str, code: str, most: int = 3600, names: str | None = None, matched: str | None = None) -> Column:
+    """Reference text of a hit: topics and quality, summary, matched chunks, mainImage and key functions, cut to ``most``.
+
+    ``names``: column of key functions; ``matched``: array of (kind, title, text, score). Without any section it is the code.
+    """
     tag = F.array_join(F.slice(_names(tags), 1, 8), ", ")
     look = F.array_join(F.slice(_names(features), 1, 6), ", ")
     score = F.coalesce(F.when(~F.isnan(quality), F.col(quality)), F.lit(0.0))
     meta = F.concat_ws(" | ", F.when(tag != "", F.concat(F.lit("tags="), tag)), F.when(look != "", F.concat(F.lit("visual="), look)), F.when(score != 0, F.concat(F.lit("quality="), F.format_string("%.2f", score))))
-    parts = F.concat_ws("\n\n", F.when(meta != "", F.concat(F.lit("[meta] "), meta)), F.when(text(summary) != "", F.concat(F.lit("[algorithm_summary]\n"), clip(summary, 700))), F.when(text(code) != "", F.concat(F.lit("[context: code]\n"), clip(code, 1400))))
-    return clip(parts, most)
+    keys = _names(names) if names else F.array().cast("array<string>")
+    own = _hit_sections(text(code), keys, F.col(matched)) if matched else _sections(text(code), keys)
+    parts = F.concat_ws("\n\n", F.when(meta != "", F.concat(F.lit("[meta] "), meta)), F.when(text(summary) != "", F.concat(F.lit("[algorithm_summary]\n"), clip(summary, 700))), F.nullif(own, F.lit("")))
+    return clip(F.when(parts != "", parts).otherwise(text(code)), most)
 
 
 def masked(secret, keep: int = 4) -> Column:

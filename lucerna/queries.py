@@ -513,7 +513,7 @@ with a as (select row_id, list_filter(list_transform(regexp_extract_all({CODE},
     lambda p: len(list_filter(p, lambda x: x > 1)) = 0 and len(list_filter(p, lambda x: x > 0)) > 0) as f from shader_records)
 select row_id, case when len(f) > 0 then f[-1][1] else 0.5::double end as r, case when len(f) > 0 then f[-1][2] else 0.5::double end as g, case when len(f) > 0 then f[-1][3] else 0.5::double end as b from a""")(
     lambda s, d: busy(s, d, "shader_records").select("row_id", actions.base_colour("code_image").alias("v")).select("row_id", *[F.col("v")[i].alias(c) for i, c in enumerate("rgb")]))
-query("reference_context")(lambda s, d: table(s, d, "shader_records").select("row_id", actions.reference_context("tags_topic", "visual_features", "quality_score", "algorithm_summary", "code_image").alias("context")))
+query("reference_context")(lambda s, d: table(s, d, "shader_records").select("row_id", actions.reference_context("tags_topic", "visual_features", "quality_score", "algorithm_summary", "code_image", names="key_functions").alias("context")))
 query("masked_names", """select row_id, case when u = '' then '<unset>' when length(u) <= 4 then repeat('*', length(u)) else substr(u, 1, 4) || '******(len=' || length(u) || ')' end as shown from (select row_id, coalesce(username, '') as u from shader_records)""")(
     lambda s, d: table(s, d, "shader_records").select("row_id", actions.masked("username").alias("shown")))
 query("call_stats", """

@@ -147,3 +147,15 @@ def test_actions(spark):
         actions.critique(F.lit(True), "c", F.lit("2d a")).alias("s"), actions.reference_context("f", "f", "q", "w", "c").alias("x")).first()
     assert row.rgb == [0.5, 0.25, 1.0] and row.t == ["sdf", "noise"] and row.k == ["avoid 纹理", "<= 30 lines", "no external textures"] and row.u == ["a"]
     assert row.m == "不要用纹******(len=13)" and row.s == pytest.approx(0.5) and row.x.startswith("[meta] tags=sdBox, noise1 | visual=sdBox, noise1 | quality=0.50\n\n[algorithm_summary]")
+
+
+def test_reference_context_has_functions(spark):
+    from lucerna.operators import actions
+
+    code = "// head\n" * 300 + "float sd(vec2 p) { if (p.x > 0.) { return 1.; } return 0.; }\nvoid mainImage(out vec4 c, in vec2 f) { c = vec4(sd(f)); }"
+    hit = [("overview", "overview", "about", 0.9), ("function", "sd", "Function float sd", 0.1)]
+    df = spark.createDataFrame([(code, ["t"], 0.0, "", ["sd", "none"], hit)], "c string, f array<string>, q double, w string, k array<string>, m array<struct<kind:string,title:string,text:string,score:double>>")
+    row = df.select(actions.reference_context("f", "f", "q", "w", "c", names="k").alias("x"), actions.reference_context("f", "f", "q", "w", "c", names="k", matched="m").alias("y")).first()
+    main = "[context: mainImage]\nvoid mainImage(out vec4 c, in vec2 f) { c = vec4(sd(f)); }"
+    assert row.x == "[meta] tags=t | visual=t\n\n" + main + "\n\n[context: key_function sd]\nfloat sd(vec2 p) { if (p.x > 0.) { return 1.; } return 0.; }"
+    assert row.y == "[meta] tags=t | visual=t\n\n[matched_function: sd]\nFunction float sd\n\n[matched_overview: overview]\nabout\n\n" + main
