@@ -41,3 +41,24 @@ def test_empty(spark):
     df, topics, targets = tables(spark, [], [(1, "isf", "t1", 1000, 1)])
     assert [r.target_id for r in sampling.found(df, topics, targets).collect()] == [1]
     assert sampling.found(df, topics, targets.limit(0)).count() == 0
+
+
+def test_raked_weights_decide_who_fills_in(spark, monkeypatch):
+    """Cell (a, x) is short by 40 rows; its margins' other cells get them, not (c, z)."""
+    rows = [(f"p{i:03d}", "a", ["one"]) for i in range(10)] + [(f"q{i:03d}", "a", ["two"]) for i in range(300)] + [(f"r{i:03d}", "b", ["one"]) for i in range(300)] + [(f"s{i:03d}", "c", ["three"]) for i in range(390)]
+    df, _, targets = tables(spark, rows, [(1, "a", "t1", 500, 0), (2, "a", "t2", 100, 0), (3, "b", "t1", 100, 0), (4, "c", "t3", 300, 0)])
+    topics = spark.createDataFrame([("t1", "one"), ("t2", "two"), ("t3", "three")], "topic_key string, topic_name string")
+    sample, report = sampling.draw(df, topics, targets)
+    by = {r.target_id: (r.wanted, r.drawn, r.gap) for r in report.collect()}
+    assert by[1] == (50, 10, 40) and sum(d for _, d, _ in by.values()) == 100 and by[2][1] + by[3][1] > 40 and by[4][1] < 50
+    ids = {r.shader_id for r in sample.collect()}
+    monkeypatch.setattr(sampling, "raked", lambda counts, wanted: dict.fromkeys(wanted, 1.0))
+    assert {r.shader_id for r in sampling.draw(df, topics, targets)[0].collect()} != ids
+
+
+def test_last_key(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id % 400 * 0.37 as key", "cast(id as string) as shader_id")
+    want = sorted((r.key, r.shader_id) for r in df.collect())
+    for few in (10_000, 5):
+        monkeypatch.setattr(sampling, "FEW", few)
+        assert [sampling.last_key(df, k) for k in (1, 2, 400, 999)] == [want[k - 1] for k in (1, 2, 400, 999)] and sampling.last_key(df, 1000) is None
