@@ -1,9 +1,10 @@
 """Problem 5: records whose code was derived from other records by small edits.
 
-Fingerprint: ``SYMBOLS`` min-hash symbols over all of a code's three-token shingles, common ones too. ``BLOCKS``
-blocks of ``WIDTH`` symbols each are drawn from it, and codes that agree in a block are candidates: of the pairs
-of similarity 0.6 about 3 in 10,000 share none, of those of 0.65 about 5 in a million. Candidates are verified by
-the Hamming distance of one bit of each symbol, then by the exact similarity.
+Fingerprint: ``BLOCKS * WIDTH`` min-hash symbols over all of a code's three-token shingles, split into ``BLOCKS``
+blocks. Two fingerprints that differ in fewer symbols than there are blocks share a block, by the pigeonhole
+principle; that holds from a similarity of about 0.8 on. Below, a shared block is still all but sure: of the pairs
+of similarity 0.6 one in 7,000 has none, of those of 0.65 one in 200,000. Codes that share a block are candidates; they
+are verified by the Hamming distance of one bit of each symbol, then by the exact similarity.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import types as T
 from lucerna.functions.code_text import without_comments
 from lucerna.plans.runtime import materialize, spread
 
-SYMBOLS, BLOCKS, WIDTH = 256, 256, 6
+BLOCKS, WIDTH = 64, 4
+SYMBOLS = BLOCKS * WIDTH
 #: Differing bits of two fingerprints at similarity 0.6 are 51 on average; beyond this are 5 in 10 million.
 FAR = 84
-#: Up to so many ids of codes to compare are sent to all tasks; more are met by a shuffle of the codes.
-FEW_IDS = 500_000
+#: A block of more classes than this is dealt to several tasks.
+HOT = 2000
 #: Text bytes hashed at a time; bounds a task's memory.
 CHUNK = 1 << 20
 _U = np.uint64
@@ -105,39 +107,39 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**63, n, dtype=_U), rng.integers(0, 2**63, n, dtype=_U) | _U(1)
 
 
-def _fingerprints(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of SYMBOLS min-hash symbols of one byte for each (not empty) set."""
+def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """BLOCKS block keys, and SYMBOLS bits as longs, of each (not empty) set."""
     xs, ms = _seeds(SYMBOLS)
     x = np.concatenate(sets)
     offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    out = np.empty((len(sets), SYMBOLS), np.uint8)
+    keys = np.empty((len(sets), BLOCKS), _U)
+    bits = np.empty((len(sets), SYMBOLS), np.uint8)
     with np.errstate(over="ignore"):
         for k in range(SYMBOLS):
-            out[:, k] = _mixed(np.minimum.reduceat((x ^ xs[k]) * ms[k], offsets)) & _U(255)
-    return out
+            symbol = _mixed(np.minimum.reduceat((x ^ xs[k]) * ms[k], offsets))
+            bits[:, k] = symbol & _U(1)
+            block, first = k // WIDTH, k % WIDTH == 0
+            keys[:, block] = _mixed((_U(block) if first else keys[:, block]) * _U(_BASE) + symbol)
+    return keys.astype(np.int64), np.packbits(bits, axis=1).view(np.int64)
 
 
-def _blocks(prints: np.ndarray) -> np.ndarray:
-    """One row of BLOCKS values for each fingerprint: the number of the block and its symbols, mixed one to one."""
-    rng = np.random.default_rng(6)
-    drawn = np.array([rng.choice(SYMBOLS, WIDTH, replace=False) for _ in range(BLOCKS)])
-    out = np.tile(np.arange(BLOCKS, dtype=_U), (len(prints), 1))
+def _class(s: np.ndarray) -> str:
+    """128 bits that name a shingle set."""
     with np.errstate(over="ignore"):
-        for w in range(WIDTH):
-            out = (out << _U(8)) | prints[:, drawn[:, w]]
-        return _mixed(out).astype(np.int64)
+        x = _mixed(s + _U(len(s)))
+        return f"{int(np.bitwise_xor.reduce(x)):016x}{int(np.add.reduce(_mixed(x + _U(_BASE)))):016x}"
 
 
 def signatures(codes: DataFrame) -> DataFrame:
-    """(shader_id, class_id, fingerprint, bits): class_id is the same for equal shingle sets.
+    """(shader_id, class_id, blocks, bits): class_id is the same for equal shingle sets.
 
-    Codes with fewer than three tokens have no row: they share no sequence with any other. Fingerprint and
-    bits (one of each symbol) come with the first code of a class in each task only, so a group of copies,
-    however large, enters the block join once for each task.
+    Codes with fewer than three tokens have no row: they share no sequence with any other. Blocks and bits (one
+    of each symbol) come with the first code of a class in each task only, so a group of copies, however large,
+    is fingerprinted once for each task.
     """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: set[int] = set()
+        known: set[str] = set()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
@@ -146,31 +148,34 @@ def signatures(codes: DataFrame) -> DataFrame:
                 sets = [x for x in sets if len(x)]
                 if not sets:
                     continue
-                with np.errstate(over="ignore"):
-                    key = np.array([int(np.bitwise_xor.reduce(_mixed(x + _U(len(x)))) & _U(_MASK >> 1)) for x in sets], np.int64)
-                prints: list = [None] * len(sets)
+                names = [_class(x) for x in sets]
+                blocks: list = [None] * len(sets)
                 bits: list = [None] * len(sets)
-                new = [i for i, k in enumerate(key.tolist()) if not (k in known or known.add(k))]
+                new = [i for i, k in enumerate(names) if not (k in known or known.add(k))]
                 if new:
-                    low = _fingerprints([sets[i] for i in new])
-                    for i, own, b in zip(new, low, np.packbits(low & 1, axis=1).view(np.int64)):
-                        prints[i], bits[i] = own.tobytes(), b
-                yield pd.DataFrame({"shader_id": ids, "class_id": key, "fingerprint": prints, "bits": bits})
+                    for i, b, c in zip(new, *_fingerprints([sets[i] for i in new])):
+                        blocks[i], bits[i] = b, c
+                yield pd.DataFrame({"shader_id": ids, "class_id": names, "blocks": blocks, "bits": bits})
 
-    return codes.select("shader_id", "code_image").mapInPandas(sign, "shader_id string, class_id long, fingerprint binary, bits array<long>")
+    return codes.select("shader_id", "code_image").mapInPandas(sign, "shader_id string, class_id string, blocks array<long>, bits array<long>")
 
 
-def block_rows(signed: DataFrame) -> DataFrame:
-    """(class_id, block) of all fingerprints; made from them when read, as they are a tenth of the size."""
+def sharing(cells: DataFrame, hot: int = HOT) -> DataFrame:
+    """Distinct (a, b), a < b, of the ``of`` values that share a block, from (block, of).
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                blocks = _blocks(np.frombuffer(b"".join(part["fingerprint"]), np.uint8).reshape(-1, SYMBOLS))
-                yield pd.DataFrame({"class_id": part["class_id"].to_numpy().repeat(BLOCKS), "block": blocks.ravel()})
-
-    return signed.filter("fingerprint is not null").select("class_id", "fingerprint").mapInPandas(cut, "class_id long, block long")
+    Rows are moved once, by block, which serves the count of block sizes and both sides of the join. In a block of
+    more than ``hot`` rows one side is dealt to as many tasks as it has parts of that size, and the other is copied
+    to each of them.
+    """
+    cells = cells.repartition("block")
+    sizes = cells.groupBy("block").agg(F.count("*").alias("n"))
+    few = cells.join(sizes.filter((F.col("n") > 1) & (F.col("n") <= hot)).select("block"), "block", "left_semi")
+    many = cells.join(sizes.filter(F.col("n") > hot).select("block", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "block")
+    left = many.select("block", F.pmod(F.xxhash64("of"), F.col("parts")).cast("int").alias("part"), F.col("of").alias("a"))
+    right = many.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("of").alias("b"))
+    own = few.withColumnRenamed("of", "a").join(few.withColumnRenamed("of", "b"), "block").select("a", "b")
+    dealt = left.join(right, ["block", "part"]).select("a", "b")
+    return own.unionByName(dealt).filter("a < b").distinct()
 
 
 def hamming(a: str, b: str) -> Column:
@@ -195,31 +200,21 @@ def linked_classes(records: DataFrame, least: float = 0.6) -> tuple[DataFrame, D
     """(class_a, class_b, similarity) of classes at least ``least`` similar, and (class_id, shader_id) members.
 
     Equal shingle sets form one class first, so groups of copies, however large, meet the block join as one
-    row. Blocks are moved once, by their own value, which serves the removal of copies and both sides of the
-    join. Fingerprints may differ in up to FAR bits: the exact similarity decides.
+    row. Fingerprints may differ in up to FAR bits: the exact similarity decides.
     """
     codes = spread(coded(records))
     signed = materialize(signatures(codes))
     members = signed.select("class_id", "shader_id").distinct()
-    prints = materialize(
-        signed.filter("fingerprint is not null").groupBy("class_id").agg(F.min(F.struct("shader_id", "bits")).alias("r")).select("class_id", "r.bits", "r.shader_id"))
-    cells = block_rows(signed).repartition("block").dropDuplicates(["block", "class_id"])
-    a, b = cells.withColumnRenamed("class_id", "class_a"), cells.withColumnRenamed("class_id", "class_b")
-    pairs = a.join(b, "block").filter("class_a < class_b").select("class_a", "class_b").distinct()
-    pairs = (
-        pairs.join(prints.toDF("class_a", "bits_a", "id_a"), "class_a")
-        .join(prints.toDF("class_b", "bits_b", "id_b"), "class_b")
-        .filter(hamming("bits_a", "bits_b") <= FAR)
-        .select("class_a", "class_b", "id_a", "id_b")
-    )
-    pairs = materialize(pairs)
-    wanted = materialize(pairs.select(F.explode(F.array("id_a", "id_b")).alias("shader_id")).distinct())
-    if wanted.count() <= FEW_IDS:
-        wanted = F.broadcast(wanted)
-    texts = coded(records).join(wanted, "shader_id", "left_semi").groupBy("shader_id").agg(F.max("code_image").alias("code"))
-    texts = materialize(texts)
+    one = signed.filter("blocks is not null").groupBy("class_id").agg(F.min_by(F.struct("shader_id", "blocks", "bits"), "shader_id").alias("r"))
+    prints = materialize(one.select("class_id", F.xxhash64("class_id").alias("of"), "r.*"))
+    pairs = sharing(prints.select(F.explode("blocks").alias("block"), "of"))
+    side = lambda n: prints.select(F.col("of").alias(n), F.col("class_id").alias(f"class_{n}"), F.col("bits").alias(f"bits_{n}"), F.col("shader_id").alias(f"id_{n}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(hamming("bits_a", "bits_b") <= FAR).select("class_a", "class_b", "id_a", "id_b")
+    near = materialize(near)
+    wanted = materialize(near.select(F.explode(F.array("id_a", "id_b")).alias("shader_id")).distinct())
+    texts = materialize(coded(records).join(wanted, "shader_id", "left_semi").groupBy("shader_id").agg(F.max("code_image").alias("code")))
     links = (
-        pairs.join(texts.toDF("id_a", "code_a"), "id_a").join(texts.toDF("id_b", "code_b"), "id_b")
+        near.join(texts.toDF("id_a", "code_a"), "id_a").join(texts.toDF("id_b", "code_b"), "id_b")
         .withColumn("similarity", similarity("code_a", "code_b"))
         .filter(F.col("similarity") >= least)
         .select("class_a", "class_b", "similarity")

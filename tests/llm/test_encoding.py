@@ -1,4 +1,7 @@
+import itertools
 import os
+import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -71,13 +74,63 @@ def test_packing_is_whole(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=40))
 def test_bin_completion(sizes):
-    bins = packing.complete(sizes, 100)
+    bins, proven = packing.complete(sizes, 100)
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
     assert -(-sum(sizes) // 100) <= len(bins) <= len(packing.best_fit(sizes, 100))
+    assert proven or len(bins) > -(-sum(sizes) // 100)
+
+
+def fewest(sizes, capacity):
+    def fits(items, rooms):
+        return not items or any(r >= items[0] and fits(items[1:], [*rooms[:k], r - items[0], *rooms[k + 1 :]]) for k, r in enumerate(rooms) if r not in rooms[:k])
+
+    k = 0
+    while not fits(sorted(sizes, reverse=True), [capacity] * k):
+        k += 1
+    return k
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(8, 50), max_size=9))
+def test_proven_is_least(sizes):
+    bins, proven = packing.complete(sizes, 50)
+    assert proven and len(bins) == fewest(sizes, 50)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 40), st.lists(st.integers(1, 30), max_size=9), st.integers(0, 10))
+def test_no_filling_is_dominated_and_none_is_missing(free, left, slack):
+    left = sorted(left)
+    got = [f for f in packing.fillings(free, left, slack) if f is not None]
+
+    def beaten(chosen):
+        room = free - sum(left[i] for i in chosen)
+        own = [left[i] for i in chosen]
+        for x in (left[i] for i in range(len(left)) if i not in chosen):
+            for k in range(len(own) + 1):
+                for c in itertools.combinations(own, k):
+                    if sum(c) <= x <= sum(c) + room and (x > sum(c) or k > 1):
+                        return True
+        return False
+
+    every = [c for k in range(len(left) + 1) for c in itertools.combinations(range(len(left)), k) if 0 <= free - sum(left[i] for i in c) <= slack]
+    key = lambda c: tuple(sorted(left[i] for i in c))
+    assert {key(f) for f in got} == {key(c) for c in every if not beaten(c)} and len({key(f) for f in got}) == len(got)
 
 
 def test_bin_completion_beats_best_fit():
     sizes = [40, 30, 30, 40, 30, 30, 50, 50, 45, 55, 35, 65]
-    assert len(packing.complete(sizes, 100)) == 5
-    assert len(packing.complete([60, 50, 30, 20, 20, 20], 100)) == 2
+    assert len(packing.complete(sizes, 100)[0]) == 5
+    assert packing.complete([60, 50, 30, 20, 20, 20], 100)[1] and len(packing.complete([60, 50, 30, 20, 20, 20], 100)[0]) == 2
+
+
+def test_large_groups_end_within_their_steps():
+    rng = random.Random(3)
+    sizes = [min(4000, int(rng.lognormvariate(5, 1)) + 1) for _ in range(2000)]
+    began = time.time()
+    bins, proven = packing.complete(sizes, 4096)
+    assert proven and len(bins) == -(-sum(sizes) // 4096) and time.time() - began < 20
+    hard = [2100] * 40 + [1500] * 20 + [1999] * 10  # two of no kind fit beside 2100
+    began = time.time()
+    assert len(packing.complete(hard, 4096)[0]) >= 40 and time.time() - began < 20
