@@ -2,9 +2,11 @@
 
 Fingerprint: ``BLOCKS * WIDTH`` min-hash symbols over all of a code's three-token shingles, split into ``BLOCKS``
 blocks. Two fingerprints that differ in fewer symbols than there are blocks share a block, by the pigeonhole
-principle; that holds from a similarity of about 0.8 on. Below, a shared block is still all but sure: of the pairs
-of similarity 0.6 one in 7,000 has none, of those of 0.65 one in 200,000. Codes that share a block are candidates; they
-are verified by the Hamming distance of one bit of each symbol, then by the exact similarity.
+principle; that covers similarities from about 0.86 on. Below, blocks of few symbols would keep the guarantee
+but make candidates of all codes that share some common lines; with blocks of ``WIDTH`` symbols 2 in 1,000 of the
+pairs at exactly 0.6 share none, 4 in 100,000 of those at 0.65, one in 20 million of those at 0.7. Codes that
+share a block are verified by the Hamming distance of a bit of the first symbols of each block, then by the exact
+similarity.
 """
 
 from __future__ import annotations
@@ -14,15 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lucerna.functions.code_text import without_comments
 from lucerna.plans.runtime import materialize, spread
 
-BLOCKS, WIDTH = 64, 4
-SYMBOLS = BLOCKS * WIDTH
+BLOCKS, WIDTH = 128, 6
+#: Longs of bits kept for the Hamming distance; each takes one bit of 64 blocks.
+LONGS = 4
 #: Differing bits of two fingerprints at similarity 0.6 are 51 on average; beyond this are 5 in 10 million.
 FAR = 84
 #: A block of more classes than this is dealt to several tasks.
@@ -102,49 +105,50 @@ def _hashed(texts: list[bytes]) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(triple, np.cumsum(counts)[:-1])]
 
 
-def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(5)
-    return rng.integers(0, 2**63, n, dtype=_U), rng.integers(0, 2**63, n, dtype=_U) | _U(1)
+def _class(s: np.ndarray) -> str:
+    """128 bits that name a shingle set."""
+    with np.errstate(over="ignore"):
+        x = _mixed(s + _U(len(s)))
+        return f"{int(np.bitwise_xor.reduce(x)):016x}{int(np.add.reduce(_mixed(x + _U(_BASE)))):016x}"
 
 
 def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """BLOCKS block keys, and SYMBOLS bits as longs, of each (not empty) set."""
-    xs, ms = _seeds(SYMBOLS)
-    x = np.concatenate(sets)
+    """BLOCKS block keys, and LONGS longs of bits, of each (not empty) set."""
+    rng = np.random.default_rng(5)
+    xors, factors = rng.integers(0, 1 << 32, BLOCKS * WIDTH, dtype=np.uint32), rng.integers(0, 1 << 32, BLOCKS * WIDTH, dtype=np.uint32) | np.uint32(1)
+    x = (np.concatenate(sets) >> _U(24)).astype(np.uint32)
     offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
     keys = np.empty((len(sets), BLOCKS), _U)
-    bits = np.empty((len(sets), SYMBOLS), np.uint8)
+    bits = np.empty((len(sets), LONGS * 64), np.uint8)
+    taken = LONGS * 64 // BLOCKS
     with np.errstate(over="ignore"):
-        for k in range(SYMBOLS):
-            symbol = _mixed(np.minimum.reduceat((x ^ xs[k]) * ms[k], offsets))
-            bits[:, k] = symbol & _U(1)
-            block, first = k // WIDTH, k % WIDTH == 0
-            keys[:, block] = _mixed((_U(block) if first else keys[:, block]) * _U(_BASE) + symbol)
+        for block in range(BLOCKS):
+            key = np.full(len(sets), block, _U)
+            for w in range(WIDTH):
+                k = block * WIDTH + w
+                symbol = _mixed(np.minimum.reduceat((x ^ xors[k]) * factors[k], offsets).astype(_U))
+                if w < taken:
+                    bits[:, block * taken + w] = symbol & _U(1)
+                key = _mixed(key * _U(_BASE) + symbol)
+            keys[:, block] = key
     return keys.astype(np.int64), np.packbits(bits, axis=1).view(np.int64)
 
 
-def _class(s: np.ndarray) -> str:
-    """128 bits that name a shingle set."""
-    with np.errstate(over="ignore"):
-        x = _mixed(s + _U(len(s)))
-        return f"{int(np.bitwise_xor.reduce(x)):016x}{int(np.add.reduce(_mixed(x + _U(_BASE)))):016x}"
-
-
 def signatures(codes: DataFrame) -> DataFrame:
-    """(shader_id, class_id, blocks, bits): class_id is the same for equal shingle sets.
+    """(shader_id, class_id, code_key, blocks, bits): class_id is the same for equal shingle sets.
 
-    Codes with fewer than three tokens have no row: they share no sequence with any other. Blocks and bits (one
-    of each symbol) come with the first code of a class in each task only, so a group of copies, however large,
-    is fingerprinted once for each task.
+    Codes with fewer than three tokens have no row: they share no sequence with any other. Blocks and bits come
+    with the first code of a class in each task only, so a group of copies, however large, is fingerprinted once
+    for each task.
     """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: set[str] = set()
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
+            for at in range(0, len(batch), 250):
+                part = batch.iloc[at : at + 250]
                 sets = shingle_sets(part["code_image"].tolist())
-                ids = [s for s, x in zip(part["shader_id"], sets) if len(x)]
+                full = [len(x) > 0 for x in sets]
                 sets = [x for x in sets if len(x)]
                 if not sets:
                     continue
@@ -155,32 +159,30 @@ def signatures(codes: DataFrame) -> DataFrame:
                 if new:
                     for i, b, c in zip(new, *_fingerprints([sets[i] for i in new])):
                         blocks[i], bits[i] = b, c
-                yield pd.DataFrame({"shader_id": ids, "class_id": names, "blocks": blocks, "bits": bits})
+                yield part.loc[full, ["shader_id", "code_key"]].assign(class_id=names, blocks=blocks, bits=bits)[["shader_id", "class_id", "code_key", "blocks", "bits"]]
 
-    return codes.select("shader_id", "code_image").mapInPandas(sign, "shader_id string, class_id string, blocks array<long>, bits array<long>")
+    keyed = codes.select("shader_id", "code_image", F.xxhash64("code_image").alias("code_key"))
+    return keyed.mapInPandas(sign, "shader_id string, class_id string, code_key long, blocks array<long>, bits array<long>")
 
 
 def sharing(cells: DataFrame, hot: int = HOT) -> DataFrame:
-    """Distinct (a, b), a < b, of the ``of`` values that share a block, from (block, of).
+    """Distinct (a, b), a < b, of the ``of`` values that share a block, from (block, of), repeated rows allowed.
 
-    Rows are moved once, by block, which serves the count of block sizes and both sides of the join. In a block of
-    more than ``hot`` rows one side is dealt to as many tasks as it has parts of that size, and the other is copied
-    to each of them.
+    All rows are moved once, by block, and those alone in their block end there. In a block of more than ``hot``
+    rows one side is dealt to as many tasks as it has parts of that size, and the other is copied to each of them.
     """
-    cells = cells.repartition("block")
-    sizes = cells.groupBy("block").agg(F.count("*").alias("n"))
-    few = cells.join(sizes.filter((F.col("n") > 1) & (F.col("n") <= hot)).select("block"), "block", "left_semi")
-    many = cells.join(sizes.filter(F.col("n") > hot).select("block", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "block")
+    shared = materialize(cells.withColumn("n", F.count("*").over(Window.partitionBy("block"))).filter("n > 1").select("block", "of", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    few, many = (shared.filter(c).dropDuplicates(["block", "of"]) for c in ("parts = 1", "parts > 1"))
     left = many.select("block", F.pmod(F.xxhash64("of"), F.col("parts")).cast("int").alias("part"), F.col("of").alias("a"))
     right = many.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("of").alias("b"))
-    own = few.withColumnRenamed("of", "a").join(few.withColumnRenamed("of", "b"), "block").select("a", "b")
+    own = few.select("block", F.col("of").alias("a")).join(few.select("block", F.col("of").alias("b")), "block").select("a", "b")
     dealt = left.join(right, ["block", "part"]).select("a", "b")
-    return own.unionByName(dealt).filter("a < b").distinct()
+    return own.filter("a < b").unionByName(dealt.filter("a < b")).distinct()
 
 
 def hamming(a: str, b: str) -> Column:
     """Differing bits of two fingerprints."""
-    return sum(F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SYMBOLS // 64))
+    return sum(F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(LONGS))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -188,8 +190,11 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Shared three-token sequences divided by those found in either code; 0 where neither has one."""
     texts = list(dict.fromkeys([*a, *b]))
     sets = dict(zip(texts, shingle_sets(texts)))
-    both = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)]
-    return pd.Series([n / max(1, len(sets[x]) + len(sets[y]) - n) for n, x, y in zip(both, a, b)])
+    out = []
+    for x, y in zip(a, b):
+        n = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        out.append(n / max(1, len(sets[x]) + len(sets[y]) - n))
+    return pd.Series(out)
 
 
 def coded(records: DataFrame) -> DataFrame:
@@ -199,22 +204,24 @@ def coded(records: DataFrame) -> DataFrame:
 def linked_classes(records: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(class_a, class_b, similarity) of classes at least ``least`` similar, and (class_id, shader_id) members.
 
-    Equal shingle sets form one class first, so groups of copies, however large, meet the block join as one
-    row. Fingerprints may differ in up to FAR bits: the exact similarity decides.
+    Equal shingle sets form one class first, so groups of copies, however large, meet the block join as one row.
+    Fingerprints may differ in up to FAR bits: the exact similarity decides.
     """
     codes = spread(coded(records))
     signed = materialize(signatures(codes))
     members = signed.select("class_id", "shader_id").distinct()
-    one = signed.filter("blocks is not null").groupBy("class_id").agg(F.min_by(F.struct("shader_id", "blocks", "bits"), "shader_id").alias("r"))
+    first = signed.filter("blocks is not null")
+    one = first.groupBy("class_id").agg(F.min(F.struct("code_key", "bits")).alias("r"))
     prints = materialize(one.select("class_id", F.xxhash64("class_id").alias("of"), "r.*"))
-    pairs = sharing(prints.select(F.explode("blocks").alias("block"), "of"))
-    side = lambda n: prints.select(F.col("of").alias(n), F.col("class_id").alias(f"class_{n}"), F.col("bits").alias(f"bits_{n}"), F.col("shader_id").alias(f"id_{n}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(hamming("bits_a", "bits_b") <= FAR).select("class_a", "class_b", "id_a", "id_b")
+    pairs = sharing(first.select(F.explode("blocks").alias("block"), F.xxhash64("class_id").alias("of")))
+    side = lambda n: prints.select(F.col("of").alias(n), F.col("class_id").alias(f"class_{n}"), F.col("bits").alias(f"bits_{n}"), F.col("code_key").alias(f"key_{n}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(hamming("bits_a", "bits_b") <= FAR).select("class_a", "class_b", "key_a", "key_b")
     near = materialize(near)
-    wanted = materialize(near.select(F.explode(F.array("id_a", "id_b")).alias("shader_id")).distinct())
-    texts = materialize(coded(records).join(wanted, "shader_id", "left_semi").groupBy("shader_id").agg(F.max("code_image").alias("code")))
+    wanted = materialize(near.select(F.explode(F.array("key_a", "key_b")).alias("code_key")).distinct())
+    texts = coded(records).select(F.xxhash64("code_image").alias("code_key"), "code_image").join(wanted, "code_key", "left_semi")
+    texts = materialize(texts.groupBy("code_key").agg(F.max("code_image").alias("code")))
     links = (
-        near.join(texts.toDF("id_a", "code_a"), "id_a").join(texts.toDF("id_b", "code_b"), "id_b")
+        near.join(texts.toDF("key_a", "code_a"), "key_a").join(texts.toDF("key_b", "code_b"), "key_b")
         .withColumn("similarity", similarity("code_a", "code_b"))
         .filter(F.col("similarity") >= least)
         .select("class_a", "class_b", "similarity")
