@@ -20,15 +20,16 @@ def test_held_out_statements(spark, listed):
         "This shader is released under Creative Commons BY-SA 4.0.": "cc-by-sa-4.0", "I place this file in the public domain.": "public-domain", "Alle Rechte vorbehalten, anna 2014.": "proprietary", "GNU_GPL_version_3": "gpl-3.0",
         "idea seen in an MIT library, the code here is new": None, "a draft elsewhere was GPLv3, this one is not": None, "not derived from the GPL version of this effect": None, "license: tbd": None, "see LICENSE": None,
         "Code style: limit lines, permit tabs.": None, "Mit vielen Beispielen.": None, "Copyright (c) 2019 some body": None, "?": None, "Licensed under the Foo License 7.": None, "x" * 50_000: None}
-    got = {r.statement: r.license_key for r in li.label_statements(spark.createDataFrame([(s,) for s in want], "statement string"), listed).collect()}
+    got = {r.statement: r.license_key for r in li.label_statements(spark.createDataFrame([(s,) for s in want], "statement string"), li.listed(listed)).collect()}
     assert got == {k: v for k, v in want.items() if v}
 
 
 def test_statements_of_code_and_files():
     code = '/*{"CREDIT": "a", "LICENSE": "MIT"}*/\n/*\n * Licensed under\n * the MIT license.\n */\n// SPDX-License-Identifier: \\\n  MIT\nfloat a = 1.; // plain\n"MIT License"'
-    assert li.code_statements(code) == {"LICENSE: MIT", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT"}
-    assert li.code_statements("") == set() and li.code_statements("float x;") == set()
-    assert "MIT License" in li.body_statements("# Title\n\nMIT License\n===========\n\nText that\nwraps.")
+    look = li.hint(LIST)
+    assert li.code_statements(code, look) == {"LICENSE: MIT", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT"}
+    assert li.code_statements("", look) == set() and li.code_statements("float x;", look) == set()
+    assert "MIT License" in li.body_statements("# Title\n\nMIT License\n===========\n\nText that\nwraps.", look)
 
 
 @pytest.mark.parametrize("url, want", [
@@ -58,3 +59,22 @@ def test_empty(spark, listed):
     assert [tuple(r) for r in li.found(records, parents, files, listed).collect()] == [("file", "a", "mit")]
     assert [tuple(r) for r in li.found(records, parents, files, listed.limit(0)).collect()] == [("file", "a", "unknown")]
     assert li.found(records.limit(0), parents, files, listed).count() == 0
+
+
+def test_a_license_is_known_by_the_list_alone(spark, listed):
+    texts = ["License: EPL-2.0", "Licensed under the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0", "Released under Eclipse Public 2.0.", "EPL 2.0", "License: Foo-7.1", "Licensed under the Foo Bar License 7.1"]
+    statements = spark.createDataFrame([(x,) for x in texts], "statement string")
+    more = sorted([*LIST, ("epl-2.0", "Eclipse Public License 2.0", ["EPL-2.0"]), ("foo-7.1", "Foo Bar License 7.1", ["Foo-7.1"])])
+    assert all(li.hint(more).search(x) for x in texts)
+    assert {r.statement: r.license_key for r in li.label_statements(statements, more).collect()} == dict(zip(texts, ["epl-2.0"] * 5 + ["foo-7.1"] * 2))
+    assert li.label_statements(statements, li.listed(listed)).count() == 0
+
+
+def test_too_long_lists_are_refused(listed):
+    with pytest.raises(ValueError):
+        li.listed(listed, 3)
+
+
+def test_names_follow_from_the_list():
+    got = {tuple(li.tokens(n)) for n in li.names("gpl-2.0", "GNU General Public License 2", ["GPL-2.0", "GPLv2"])}
+    assert {tuple(li.tokens(n)) for n in ("GNU GPL 2", "GPL version 2", "GPL-2.0-or-later", "GNU General Public License, version 2", "GPLv2+")} <= got
