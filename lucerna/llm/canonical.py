@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.plans.runtime import salted_join
+from lucerna.plans.runtime import salted_join, task_count
 
 #: Letters of other scripts that look like Latin ones, and digits typed for letters.
 LOOKALIKES = str.maketrans("аеорсухіѕјкмтнвԁԛԝһӏɡοαερνι", "aeopcyxisjkmthbdqwhlgoaepvi")
@@ -154,7 +154,8 @@ def map_values(values: DataFrame, reference: DataFrame, key: str = "topic_key",
         for batch in batches:
             yield pd.DataFrame({"raw_value": batch["raw_value"], "topic_key": [meant(v, trie) if v else "" for v in batch["raw_value"]]})
 
-    return values.select("raw_value").mapInPandas(match, "raw_value string, topic_key string")
+    # matching is heavy on little data, so the rows are spread by number
+    return values.select("raw_value").repartition(task_count(values.sparkSession)).mapInPandas(match, "raw_value string, topic_key string")
 
 
 def typed_values(records: DataFrame, reference: DataFrame) -> DataFrame:
@@ -163,12 +164,14 @@ def typed_values(records: DataFrame, reference: DataFrame) -> DataFrame:
     Null lists, null elements and elements of white space only give no row; so do rows without shader_id.
     """
     empty = F.array().cast("array<string>")
-    names = [r[0] for r in reference.select("topic_name").filter(F.col("topic_name").isNotNull()).limit(100_000).collect()]
     lists = F.concat(*[F.coalesce(F.col(c), empty) for c in ("categories", "tags_raw", "tags_topic")])
-    kept = F.filter(F.array_distinct(lists), lambda v: v.isNotNull() & ~v.rlike(r"^[\s\p{Z}\x{85}\x1c-\x1f]*$") & ~v.isin(names))
+    kept = F.filter(F.array_distinct(lists), lambda v: v.isNotNull() & ~v.rlike(r"^[\s\p{Z}\x{85}\x1c-\x1f]*$"))
+    names = reference.filter(F.col("topic_name").isNotNull()).select(F.col("topic_name").alias("raw_value"))
     return (
         records.filter(F.col("shader_id").isNotNull())
         .select("shader_id", F.explode(kept).alias("raw_value"))
+        .join(names, "raw_value", "left_anti")
+        .select("shader_id", "raw_value")
         .distinct()
     )
 

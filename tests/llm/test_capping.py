@@ -1,4 +1,8 @@
 import datetime
+import random
+
+import pytest
+from pyspark.sql import functions as F
 
 from lucerna.llm import capping
 
@@ -34,3 +38,18 @@ def test_hot_contributor_against_brute_force(spark):
     shares = {r.contributor: r for r in capping.shares(frame(spark, rows)).collect()}
     assert shares["hot"].kept == 10 and abs(shares["hot"].share - len(by["hot"]) / 3000) < 1e-9
     assert capping.found(frame(spark, rows[:0])).count() == 0
+
+
+@pytest.mark.parametrize("limit, share", [(3, None), (10**9, 0.2), (1, 0.9), (7, 0.05), (10**9, 1.0)])
+def test_limits_and_shares_against_brute_force(spark, limit, share):
+    rng = random.Random(8)
+    rows = [(f"s{i:04d}", i, rng.choice(["a", "a", "A ", "b", "c"]), rng.choice([None, float("nan"), 0.5, 0.5001, 0.50011, rng.random(), -3.0, 1e12])) for i in range(400)]
+    df = spark.createDataFrame(rows, "shader_id string, row_id long, username string, quality_score double").withColumn("ingested_at", F.timestamp_seconds("row_id")).withColumn("bucket", F.lit(1)).withColumn("room", F.lit("x"))
+    most = limit if share is None else min(limit, max(1, int(share * len(rows))))
+    want = set()
+    for who in "abc":
+        own = sorted((r for r in rows if r[2].strip().lower() == who), key=lambda r: (r[3] is None or r[3] != r[3], -(r[3] if r[3] is not None and r[3] == r[3] else 0), r[0]))
+        want |= {r[0] for r in own[most:]}
+    got = [r.shader_id for r in capping.found(df, limit, share).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert capping.ranked(df, limit, share).count() == len(rows)
