@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BRACE = re.compile("[{}]")
+#: How a function definition begins, and words that are no function's type or name.
 HEAD = re.compile(r"([A-Za-z_]\w*)\s+([A-Za-z_]\w*)\s*\(([^;{]*)\)\s*\{", re.A)
 CONTROL = frozenset("if for while switch return else".split())
 FUNCTION = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "signature", "body")])
@@ -16,10 +18,10 @@ FUNCTION = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "sig
 def body_end(code: str, at: int) -> int:
     """Index after the brace that closes the one at ``at``; the text's end if none does."""
     depth = 0
-    for m in re.finditer("[{}]", code[at:]):
+    for m in BRACE.finditer(code, at):
         depth += 1 if m.group() == "{" else -1
         if depth == 0:
-            return at + m.end()
+            return m.end()
     return len(code)
 
 

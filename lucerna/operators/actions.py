@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lucerna.functions.functions_of_code import body_end
-from lucerna.functions.text import GAP, clip, line_count, text
+from lucerna.functions.text import GAP, START, clip, fast, line_count, text
+from lucerna.operators import analysis
 
 #: Variables the host gives to every shader.
 BUILTINS = ("iResolution", "iTime", "iTimeDelta", "iFrame", "iChannelTime", "iMouse", "iDate", "iSampleRate", "iChannelResolution", "iChannel0", "iChannel1", "iChannel2", "iChannel3")
@@ -22,10 +23,35 @@ def _names(c: str) -> Column:
     return F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda n: n.isNotNull())
 
 
+#: How a function definition begins, and words that are no type of one.
+DEFINED = rf"{START}([a-zA-Z_][a-zA-Z0-9_]*){GAP}+([a-zA-Z_][a-zA-Z0-9_]*){GAP}*\([^;{{]*\){GAP}*\{{"
+NO_TYPES = ("if", "for", "while", "switch", "return", "else")
+
+
+def defined(code, no_types=NO_TYPES[:5]) -> Column:
+    """Names of the functions that a code defines, in order."""
+    c = text(code)
+    pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(fast(DEFINED, "a-zA-Z_")), F.lit(1)).alias("k"), F.regexp_extract_all(c, F.lit(fast(DEFINED, "a-zA-Z_")), F.lit(2)).alias("n"))
+    return F.transform(F.filter(pairs, lambda p: ~p["k"].isin(*no_types)), lambda p: p["n"])
+
+
+def key_functions(code, most: int = 8) -> Column:
+    """The first different functions that a code defines, without its entry."""
+    return F.slice(F.array_distinct(F.filter(defined(code, NO_TYPES), lambda n: (n != "mainImage") & ~n.isin(*NO_TYPES))), 1, most)
+
+
+def analyzed(records: DataFrame) -> DataFrame:
+    """The records with what their code tells: key functions, visual features, summary, whether it compiles (where that
+    is not known: whether it has an entry), and the quality by all these."""
+    rows = records.withColumn("key_functions", key_functions("code_image")).withColumn("compile_ok", F.coalesce("compile_ok", F.lit(False)) | analysis.has_entry(text("code_image")))
+    return rows.withColumn("visual_features", analysis.visual_features()).withColumn("algorithm_summary", analysis.summary_text()).withColumn("quality_score", analysis.quality())
+
+
 def parsed(code) -> dict[str, Column]:
-    """has_main, builtins used, uniforms declared and lines of a code."""
+    """has_main, functions defined, builtins used, uniforms declared and lines of a code."""
     c = text(code)
     return {
+        "functions": defined(code),
         "has_main": c.contains("mainImage"), "builtins": F.filter(F.array(*map(F.lit, BUILTINS)), lambda b: c.contains(b)),
         "uniforms": F.regexp_extract_all(c, F.lit(rf"uniform{GAP}+[a-zA-Z_][a-zA-Z0-9_]*{GAP}+([a-zA-Z_][a-zA-Z0-9_]*){GAP}*;"), F.lit(1)), "lines": line_count(code)}
 
@@ -52,13 +78,64 @@ def constraints(wish) -> Column:
     return F.concat(avoid, lines, F.when(bare, F.array(F.lit("no external textures"))).otherwise(F.array().cast("array<string>")))
 
 
-def critique(compiles: Column, code, effect: Column) -> Column:
-    """Share of kept promises: it compiles, it moves, and the code names the wanted effect (if one is wanted)."""
+#: What a code of an effect has one of; other effects are never seen.
+SHOWS = {"raymarching": ("raymarch", "ro", "rd", "march"), "sdf": ("sd", "distance"), "noise": ("noise", "hash", "fract(sin"), "fractal": ("mandelbrot", "julia", "iter")}
+
+
+def critique(compiles: Column, code, effect: Column, dynamic: Column) -> Column:
+    """Share of kept promises: it compiles; it has iTime, if it should move; it shows the effect, if one is wanted."""
     c = F.lower(text(code))
-    words = F.filter(F.split(F.lower(effect), r"[^a-z0-9]+"), lambda w: w != "")
-    wanted = F.size(words)
-    hits = compiles.cast("int") + text(code).contains("iTime").cast("int") + F.size(F.filter(words, lambda w: c.contains(w)))
-    return hits / (wanted + 2)
+    shown = F.lit(False)
+    for name, words in SHOWS.items():
+        shown = shown | ((effect == name) & F.exists(F.array(*map(F.lit, words)), lambda w: c.contains(w)))
+    kept = compiles.cast("int") + (dynamic & c.contains("itime")).cast("int") + shown.cast("int")
+    return kept / (1 + dynamic.cast("int") + (effect != "").cast("int"))
+
+
+def fenceless(reply) -> Column:
+    """A reply stripped, and without the code fence around it."""
+    t = F.regexp_replace(text(reply), r"^\s+|\s+$", "")
+    inner = F.regexp_replace(F.regexp_replace(t, r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
+    return F.when(t.startswith("```"), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(t)
+
+
+def json_of(reply) -> Column:
+    """The JSON object in a reply: the whole of it, else from the first to the last brace, else the reply."""
+    t = fenceless(reply)
+    first, last = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+    return F.when(t.startswith("{") & t.endswith("}"), t).when((first > 0) & t.contains("}") & (first < last), F.substring(t, first, last - first + 1)).otherwise(t)
+
+
+EXPLAINED = r"^[ \t]*//[ \t]*EXPLAIN:([^\n]*)((?:\n[ \t]*//[^\n]*)*)"
+
+
+def explanation(reply) -> Column:
+    """The comment lines that a reply begins with after EXPLAIN:, without marks and blank lines; '' if there are none."""
+    t = fenceless(reply)
+    lines = F.split(F.concat(F.regexp_replace(F.regexp_extract(t, EXPLAINED, 1), r"^[ \t]+", ""), F.regexp_replace(F.regexp_extract(t, EXPLAINED, 2), r"\n[ \t]*//[ \t]?", "\n")), "\n")
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"[ \t\r]+$", "")), lambda x: x != ""), "\n")
+
+
+def code_of(reply) -> Column:
+    """A reply without fence and explanation."""
+    return F.regexp_replace(F.regexp_replace(fenceless(reply), EXPLAINED, ""), r"^\s+|\s+$", "")
+
+
+def prompt_blocks(blocks, budget: int = 3600, least: int = 900) -> Column:
+    """The leading reference texts of a prompt: the second up to 1600 characters, the others up to 1000, each cut to
+    what is left of ``budget`` but not below ``least``; none after the budget is used. Blank texts are left out."""
+    rows = F.transform(F.coalesce(blocks, F.array().cast("array<string>")), lambda b, i: clip(b, 1000) if i is None else F.when(i == 1, clip(b, 1600)).otherwise(clip(b, 1000)))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
+
+    def add(so_far, block):
+        room = F.greatest(F.lit(least), budget - so_far["used"])
+        cut = F.regexp_replace(F.substring(block, F.lit(1), room), r"\s+$", "")
+        own = F.when((so_far["used"] + F.length(block) > budget) & (F.length(block) > room), F.concat(cut, F.lit("\n// ..."))).otherwise(block)
+        blank = F.regexp_replace(own, r"\s+", "") == ""
+        more = F.struct((so_far["used"] + F.length(own)).alias("used"), F.concat(so_far["kept"], F.array(own)).alias("kept"))
+        return F.when((so_far["used"] >= budget) | blank, so_far).otherwise(more)
+
+    return F.aggregate(rows, start, add, lambda x: x["kept"])
 
 
 def base_colour(code) -> Column:

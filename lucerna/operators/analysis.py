@@ -93,11 +93,17 @@ def histogram(scores: DataFrame, score: str) -> DataFrame:
 
 
 def gini(counts: DataFrame, n: str = "n") -> DataFrame:
-    """One row: the Gini coefficient of a small table of counts, 0 where there is nothing."""
-    w = Window.orderBy(n)
-    ranked = counts.select(F.col(n).cast("double").alias("x"), F.row_number().over(w).alias("i"))
-    agg = ranked.agg(F.sum(F.col("i") * F.col("x")).alias("ix"), F.sum("x").alias("s"), F.count("*").alias("k"))
-    return agg.select(F.round(F.when((F.col("k") == 0) | (F.coalesce("s", F.lit(0.0)) == 0), 0.0).otherwise(2 * F.col("ix") / (F.col("k") * F.col("s")) - (F.col("k") + 1) / F.col("k")), 6).alias("gini"))
+    """One row: the Gini coefficient of counts, 0 where there is nothing.
+
+    Equal counts are counted first, so the running rank sees one row for each different count: of a total of t there
+    are at most sqrt(2 t) of them, however many topics there are.
+    """
+    levels = counts.groupBy(F.col(n).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.orderBy("x")) - F.col("c")
+    ranked = levels.withColumn("before", before)
+    agg = ranked.agg(F.sum(F.col("x") * F.col("c") * (F.col("before") + (F.col("c") + 1) / 2)).alias("ix"), F.sum(F.col("x") * F.col("c")).alias("s"), F.sum("c").alias("k"))
+    none = F.coalesce("s", F.lit(0.0)) == 0
+    return agg.select(F.round(F.when(none, 0.0).otherwise(2 * F.col("ix") / (F.col("k") * F.col("s")) - (F.col("k") + 1) / F.col("k")), 6).alias("gini"))
 
 
 def corpus_summary(records: DataFrame) -> DataFrame:

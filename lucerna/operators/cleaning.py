@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions.text import code_hash, head_lines, text
+from lucerna.plans.runtime import materialize
 
 #: Inputs that need assets from outside, and sources exempt from likes and length.
 EXTERNAL = ("texture", "cubemap", "volume", "video", "webcam", "music", "musicstream", "mic", "keyboard", "buffer")
@@ -41,11 +42,11 @@ def first_wins(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(whole, F.struct(*order)).alias("_first")).select("_first.*")
 
 
-def clean(records: DataFrame, order: str = "row_id", min_likes: int = 30, min_chars: int = 200, max_chars: int = 12000) -> DataFrame:
-    """The records with ``drop_reason``: no_image, external, likes, length, duplicate, or null for kept rows.
+def marks(records: DataFrame, order: str = "row_id", min_likes: int = 30, min_chars: int = 200, max_chars: int = 12000) -> DataFrame:
+    """(order, new_hash, drop_reason): no_image, external, likes, length, duplicate, or null for kept rows.
 
-    Duplicates are ranked only among rows that survive the earlier filters; the first in ``order`` stays. Null
-    likes count as 0, a null source is not trusted.
+    Duplicates are ranked only among rows that survive the earlier filters; the first in ``order``, which is unique,
+    stays. Null likes count as 0, a null source is not trusted. The code is read once; only these columns go on.
     """
     trusted = F.coalesce(F.col("source").isin(*TRUSTED), F.lit(False))
     reason = (
@@ -54,15 +55,20 @@ def clean(records: DataFrame, order: str = "row_id", min_likes: int = 30, min_ch
         .when((F.coalesce("likes", F.lit(0)) < min_likes) & ~trusted, "likes")
         .when(~F.length("code").between(min_chars, max_chars) & ~trusted, "length")
     )
-    rows = with_code(records).withColumn("reason", reason).withColumn("new_hash", F.when(F.col("reason").isNull(), code_hash("code", F.coalesce(F.nullif(text("code_common"), F.lit("")), F.col("common")))))
-    firsts = rows.filter("reason is null").groupBy("new_hash").agg(F.min(order).alias("_first"))
-    kept = rows.filter("reason is null").join(firsts, F.col(order) == F.col("_first")).select(F.col(order).alias("_kept"))
-    return rows.join(kept, F.col(order) == F.col("_kept"), "left").withColumn(
-        "drop_reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("_kept").isNull(), "duplicate")).drop("reason", "_kept")
+    rows = with_code(records).withColumn("reason", reason)
+    rows = materialize(rows.select(order, "reason", F.when(F.col("reason").isNull(), code_hash("code", F.coalesce(F.nullif(text("code_common"), F.lit("")), F.col("common")))).alias("new_hash")))
+    kept = rows.filter("reason is null").groupBy("new_hash").agg(F.min(order).alias("_kept")).select("_kept")
+    return rows.join(kept, F.col(order) == F.col("_kept"), "left").select(
+        order, "new_hash", F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("_kept").isNull(), "duplicate").alias("drop_reason"))
+
+
+def clean(records: DataFrame, order: str = "row_id", **bounds) -> DataFrame:
+    """The records with the columns of ``with_code``, new_hash and drop_reason of ``marks``."""
+    return with_code(records).join(marks(records, order, **bounds), order)
 
 
 def drop_reasons(records: DataFrame) -> DataFrame:
-    return clean(records).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason")).agg(F.count("*").alias("n"))
+    return marks(records).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason")).agg(F.count("*").alias("n"))
 
 
 def restricted(code) -> Column:

@@ -39,8 +39,12 @@ def relevancy(scores: Column, least: float = 0.15) -> Column:
 
 
 def fix_efficiency(rounds: Column, most: int = 3) -> Column:
-    """1 for one round, less by 1/most for each further one, 0 beyond and for no round."""
-    return F.when(F.coalesce(rounds, F.lit(0)) <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - (rounds - 1) / F.lit(float(most))))
+    """1 for one round, less by 1/most for each further one, 0 beyond and for no round; only one round counts if none
+    more is allowed."""
+    rounds = F.coalesce(rounds, F.lit(0))
+    if most <= 0:
+        return F.when(rounds == 1, 1.0).otherwise(0.0)
+    return F.when(rounds <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - (rounds - 1) / F.lit(float(most))))
 
 
 def gate(cases: DataFrame, most_failed: float = 0.02, slowest: float = 5000.0) -> DataFrame:
@@ -56,9 +60,19 @@ def recall(want: Column, got: Column) -> Column:
     return F.when(F.size(w) > 0, F.round(F.size(F.array_intersect(w, got)) / F.size(w), 4)).otherwise(0.0)
 
 
-def row_retention(a: Column, b: Column) -> Column:
-    """Share of the stripped, not blank lines of ``a`` that are lines of ``b``."""
-    lines = lambda c: F.filter(F.transform(F.split(F.regexp_replace(c, r"\r\n|\r", "\n"), "\n"), lambda x: F.regexp_replace(x, r"^[ \t]+|[ \t]+$", "")), lambda x: x != "")
-    both = F.array(F.struct(lines(a).alias("own"), lines(b).alias("other")))  # bound once, not once for each line
-    share = F.transform(both, lambda x: F.size(F.filter(x["own"], lambda line: F.array_contains(x["other"], line))) / F.greatest(F.size(x["own"]), F.lit(1)))
-    return F.coalesce(share[0], F.lit(0.0))
+def code_lines(c) -> Column:
+    """Stripped lines that are not blank."""
+    lines = F.transform(F.split(F.regexp_replace(c, r"\r\n|\r", "\n"), "\n"), lambda x: F.regexp_replace(x, r"^[ \t]+|[ \t]+$", ""))
+    return F.filter(lines, lambda x: x != "")
+
+
+def row_retention(before: DataFrame, after: DataFrame, key: str, code: str = "code") -> DataFrame:
+    """(key, kept) of keys in both: the share of the lines of ``before`` that are lines of ``after``; 0 without lines.
+
+    Keys are unique on both sides. Lines meet by a join, so that long codes cost no more than their lines.
+    """
+    own = before.select(key, F.explode(code_lines(F.col(code))).alias("line")).groupBy(key, "line").agg(F.count("*").alias("n"))
+    there = after.select(key, F.explode(F.array_distinct(code_lines(F.col(code)))).alias("line"), F.lit(1).alias("there"))
+    share = own.join(there, [key, "line"], "left").groupBy(key).agg((F.sum(F.when(F.col("there") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("kept"))
+    both = before.select(key).join(after.select(key), key)
+    return both.join(share, key, "left").select(key, F.coalesce("kept", F.lit(0.0)).alias("kept"))

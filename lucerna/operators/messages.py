@@ -14,6 +14,11 @@ def latest(messages: DataFrame, session: str, order: list[str], n: int) -> DataF
     return messages.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
+def having(messages: DataFrame, column: str, value) -> DataFrame:
+    """The messages of a role, of a payload type or with an id: a filter that reaches the scan."""
+    return messages.filter(F.col(column) == value)
+
+
 def lineage(messages: DataFrame, starts: DataFrame, key: str = "msg_id", parent: str = "parent_id", most: int = 1024) -> DataFrame:
     """(start, hop, msg_id): every start message with its ancestors, at most ``most`` hops, so cycles end.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions.text import GAP, START, STOP, count_of, fast, text, without_comments
 
+#: The entry point, loosely and by its signature.
 LOOSE = rf"{START}void{GAP}+mainImage{GAP}*\("
 SIGNED = rf"{START}void{GAP}+mainImage{GAP}*\({GAP}*out{GAP}+vec4{GAP}+[\p{{L}}\p{{N}}_]+{GAP}*,{GAP}*(?:in{GAP}+)?vec2{GAP}+[\p{{L}}\p{{N}}_]+{GAP}*\)"
 STRICT = SIGNED.replace(rf"(?:in{GAP}+)?", rf"in{GAP}+")
@@ -63,6 +64,23 @@ def convention(code) -> Column:
     return sum((F.when(x, 1).otherwise(0) for x in checks[1:]), F.when(checks[0], 1).otherwise(0)) / 5.0
 
 
+#: Words of other shading languages and usual slips, with what is meant.
+SLIPS = {"lenght": "length", "lentgh": "length", "lerp": "mix", "saturate": "clamp(x, 0.0, 1.0)", "Normalize": "normalize", "Length": "length", "frac": "fract"}
+
+
+def validated(code) -> dict[str, Column]:
+    """errors (no_entry, braces, parens, external, slip:word, signature) and warnings (no_assignment) of a code that is
+    about to be compiled; comments don't count, but for the entry."""
+    c = without_comments(code)
+    errors = [
+        F.when(~text(code).contains("mainImage"), F.lit("no_entry")), F.when(count_of(c, "{") != count_of(c, "}"), F.lit("braces")), F.when(count_of(c, "(") != count_of(c, ")"), F.lit("parens")),
+        F.when(c.rlike(fast(rf"{START}(?:sampler2D|samplerCube|iChannel[0-9]){STOP}", "is")), F.lit("external")),
+        *[F.when(c.rlike(fast(rf"{START}{bad}{STOP}", bad[0])), F.lit(f"slip:{bad}")) for bad in SLIPS], F.when(c.contains("mainImage") & ~c.rlike(fast(STRICT, "v")), F.lit("signature"))]
+    body = F.substring(F.regexp_extract(c, fast(STRICT, "v") + r"([\s\S]*)", 1), 1, 4000)
+    bare = c.rlike(fast(STRICT, "v")) & ~body.rlike(rf"[\p{{L}}\p{{N}}_]{GAP}*=")
+    return {"errors": F.array_compact(F.array(*errors)), "warnings": F.when(bare, F.array(F.lit("no_assignment"))).otherwise(F.array().cast("array<string>"))}
+
+
 def renderable(code) -> Column:
     """No channel and no sampler, so a frame can be drawn without assets."""
     return ~text(code).rlike(fast(rf"{START}(?:iChannel[0-9]|sampler(?:2D|Cube|3D)){STOP}", "is"))
@@ -125,9 +143,10 @@ def retrieval_error_code(message) -> Column:
     return F.when(c.isin(50001, 50401, 50301), 50303).otherwise(c)
 
 
-def inferred_tags(names) -> Column:
-    """Technique tags that function names suggest."""
+def inferred_tags(names, builtins: Column | None = None) -> Column:
+    """Technique tags that function names suggest, and animation where the builtins used have iTime."""
     own = F.coalesce(F.col(names), F.array().cast("array<string>"))
     joined = F.lower(F.array_join(F.filter(own, lambda n: n.isNotNull()), " "))
+    moves = F.when(F.array_contains(builtins, "iTime"), F.lit("animation")) if builtins is not None else F.lit(None).cast("string")
     return F.array_compact(F.array(F.when(joined.contains("march"), F.lit("raymarching")), F.when(F.exists(own, lambda n: F.lower(n).startswith("sd")), F.lit("sdf")),
-                                   F.when(_any(joined, ("noise", "fbm", "hash")), F.lit("noise")), F.when(_any(joined, ("normal", "light")), F.lit("lighting"))))
+                                   F.when(_any(joined, ("noise", "fbm", "hash")), F.lit("noise")), F.when(_any(joined, ("normal", "light")), F.lit("lighting")), moves))

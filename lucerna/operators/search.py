@@ -131,17 +131,19 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, parents: DataFrame, qu
     raw = keyword_hits.filter("parent_id is not null").groupBy("query_id", "parent_id").agg(F.max("score").alias("raw"))
     key = raw.select("query_id", "parent_id", minmax("raw", "query_id").alias("bm25"))
     merged = vec.join(key, ["query_id", "parent_id"], "full_outer").select("query_id", "parent_id", F.coalesce("vec", F.lit(0.0)).alias("vec"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
-    rows = merged.join(parents, "parent_id").join(queries.select("query_id", "want_tags", F.col("text").alias("query_text")), "query_id")
+    rows = merged.join(parents, "parent_id").join(queries.select("query_id", "want_tags", "query_terms"), "query_id")
     rows = rows.withColumn("tag", tag_match("want_tags", "tags"))
     return rows.withColumn("fused", F.round(w.vector * F.col("vec") + w.keyword * F.col("bm25") + w.tag * F.col("tag") + w.quality * F.col("quality"), 9))
 
 
 def rerank(candidates: DataFrame, w: Weights) -> DataFrame:
-    """Blend the head of each query with term overlap: the first ``head`` by fused score, the rest untouched."""
+    """Blend the head of each query with term overlap: the first ``head`` by fused score, the rest untouched.
+
+    ``candidates`` has query_terms and doc_terms, the distinct search terms of both texts.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("fused"), "parent_id")
     ranked = candidates.withColumn("head", F.row_number().over(order) <= w.head)
-    q, d = F.array_distinct(search_terms("query_text")), F.array_distinct(search_terms("doc_text"))
-    scored = ranked.withColumn("rr", F.when(F.col("head"), F.round(F.col("fused") + w.overlap * F.size(F.array_intersect(q, d)) / (F.size(q) + 1), 9)))
+    scored = ranked.withColumn("rr", F.when(F.col("head"), F.round(F.col("fused") + w.overlap * F.size(F.array_intersect("query_terms", "doc_terms")) / (F.size("query_terms") + 1), 9)))
     blended = F.round(w.keep * F.col("fused") + (1 - w.keep) * minmax("rr", "query_id", "head"), 9)
     return scored.withColumn("fused", F.when(F.col("head"), blended).otherwise(F.col("fused"))).drop("rr", "head")
 
@@ -153,9 +155,12 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, parents: D
     embedding), parents(parent_id, tags, quality, doc_text). Blank queries give no row. A distance of exactly
     0 counts as no similarity, as the replaced system had it.
     """
-    queries = queries.filter(F.trim(text("text")) != "")
+    # each text is cut into terms once, not once for each pair
+    queries = materialize(queries.filter(F.trim(text("text")) != "").withColumn("query_terms", F.array_distinct(search_terms("text"))))
+    parents = parents.withColumn("doc_terms", F.array_distinct(search_terms("doc_text"))).drop("doc_text")
     of = chunks.select("chunk_id", "parent_id")
     near = nearest(queries.select("query_id", "embedding"), vectors, w.recall).withColumn("rel", F.when(F.col("distance") == 0, 0.0).otherwise(1.0 - F.col("distance")))
+    near = materialize(near)
     vector_hits = near.select("query_id", F.col("id").alias("chunk_id"), "rel").join(of, "chunk_id")
     index = materialize(postings(chunks))
     keyword_hits = bm25(queries, index, term_stats(index), w.recall).join(of, "chunk_id")

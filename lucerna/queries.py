@@ -69,7 +69,7 @@ f as (select row_id, new_hash, case when reason is not null then reason when r >
 """
 query("clean_drop_reasons", CLEANED + "select drop_reason, count(*) as n from f group by 1")(lambda s, d: cleaning.drop_reasons(table(s, d, "shader_records")))
 query("clean_kept", CLEANED + "select row_id, new_hash as code_hash from f where drop_reason = 'kept'")(
-    lambda s, d: cleaning.clean(table(s, d, "shader_records")).filter("drop_reason is null").select("row_id", F.col("new_hash").alias("code_hash")))
+    lambda s, d: cleaning.marks(table(s, d, "shader_records")).filter("drop_reason is null").select("row_id", F.col("new_hash").alias("code_hash")))
 
 
 @query("dedupe_exact", "select doc_id, h as text_hash from (select doc_id, sha256(text) as h, row_number() over (partition by sha256(text) order by doc_id) as r from documents where text is not null) where r = 1")
@@ -83,12 +83,10 @@ with a as (select row_id, lower(trim(source)) as source, sha256(coalesce(code_im
 b as (select *, list_position(['seed', 'local', 'isf', 'shaders21k', 'shadertoy', 'shadertoy_scraped'], source) as o from a)
 select code_hash, source, row_id from (select *, row_number() over (partition by code_hash order by o, row_id) as r from b where o > 0) where r = 1""")
 def _(s, d):
-    rows = table(s, d, "shader_records").filter(tx.text("code_image") != "").select("row_id", F.lower(F.trim("source")).alias("source"), tx.code_hash("code_image", "code_common").alias("code_hash"))
-    ordered = None
-    for i, source in enumerate(("seed", "local", "isf", "shaders21k", "shadertoy", "shadertoy_scraped")):
-        own = rows.filter(F.col("source") == source).withColumn("o", F.lit(i))
-        ordered = own if ordered is None else ordered.unionByName(own)
-    return cleaning.first_wins(ordered, ["code_hash"], ["o", "row_id"]).select("code_hash", "source", "row_id")
+    place = F.array_position(F.array(*map(F.lit, ("seed", "local", "isf", "shaders21k", "shadertoy", "shadertoy_scraped"))), F.lower(F.trim("source")))
+    rows = table(s, d, "shader_records").filter((tx.text("code_image") != "") & (place > 0))
+    rows = rows.select("row_id", F.lower(F.trim("source")).alias("source"), place.alias("o"), tx.code_hash("code_image", "code_common").alias("code_hash"))
+    return cleaning.first_wins(rows, ["code_hash"], ["o", "row_id"]).select("code_hash", "source", "row_id")
 
 
 query("hash_check", f"""select row_id, code_hash is not null and lower(code_hash) = sha256({CODE} || chr(10) || '---' || chr(10) || coalesce(code_common, '')) as fresh from shader_records""")(
@@ -280,10 +278,10 @@ with a as (select case_id, started_at, lower(coalesce(error, '')) as e from eval
 select code, case when code in (50001, 50401, 50301) then 50303 else code end as retrieval_code, count(*) as n from b group by 1, 2""")(
     lambda s, d: table(s, d, "eval_cases").select(rules.error_code("error").alias("code"), rules.retrieval_error_code("error").alias("retrieval_code")).groupBy("code", "retrieval_code").agg(F.count("*").alias("n")))
 query("infer_tags", """
-with a as (select row_id, list_filter(coalesce(key_functions, []), lambda f: f is not null) as f from shader_records), b as (select row_id, f, lower(array_to_string(f, ' ')) as j from a)
+with a as (select row_id, list_filter(coalesce(key_functions, []), lambda f: f is not null) as f, contains(coalesce(code_image, ''), 'iTime') as moves from shader_records), b as (select row_id, f, moves, lower(array_to_string(f, ' ')) as j from a)
 select row_id, array_to_string(list_filter([case when contains(j, 'march') then 'raymarching' end, case when len(list_filter(f, lambda x: starts_with(lower(x), 'sd'))) > 0 then 'sdf' end,
-    case when contains(j, 'noise') or contains(j, 'fbm') or contains(j, 'hash') then 'noise' end, case when contains(j, 'normal') or contains(j, 'light') then 'lighting' end], lambda x: x is not null), ',') as tags from b""")(
-    lambda s, d: table(s, d, "shader_records").select("row_id", F.array_join(rules.inferred_tags("key_functions"), ",").alias("tags")))
+    case when contains(j, 'noise') or contains(j, 'fbm') or contains(j, 'hash') then 'noise' end, case when contains(j, 'normal') or contains(j, 'light') then 'lighting' end, case when moves then 'animation' end], lambda x: x is not null), ',') as tags from b""")(
+    lambda s, d: table(s, d, "shader_records").select("row_id", F.array_join(rules.inferred_tags("key_functions", actions.parsed("code_image")["builtins"]), ",").alias("tags")))
 
 # ---- search ----
 
@@ -371,10 +369,10 @@ def parent_frame(s, d):
     return one.select("parent_id", F.filter(F.split("r.tags", ","), lambda t: t != "").alias("tags"), "r.quality", "r.doc_text")
 
 
-def search_queries(s, d):
+def search_queries(s, d, parents=None):
     """Titles and vectors of the documents whose id is divisible by 20; wanted is the first tag of their own parent."""
     docs = table(s, d, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), tx.text("title").alias("text"), "parent_id")
-    own = parent_frame(s, d).select("parent_id", F.slice("tags", 1, 1).alias("want_tags"))
+    own = (parents or parent_frame(s, d)).select("parent_id", F.slice("tags", 1, 1).alias("want_tags"))
     rows = docs.join(table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id").join(own, "parent_id", "left")
     return rows.select("query_id", "text", "embedding", F.coalesce("want_tags", F.array().cast("array<string>")).alias("want_tags"))
 
@@ -400,7 +398,8 @@ al as (select query_id, parent_id, round(0.3::double * fused + 0.7::double * cas
 @query("hybrid_search", HYBRID + """ select query_id, parent_id, round(fused, 4) as fused, round(vec, 4) as vec, round(bm25, 4) as bm25, round(tag, 4) as tag, round(quality, 4) as quality, rank
     from (select *, row_number() over (partition by query_id order by fused desc, parent_id) as rank from al where fused >= 0.15) where rank <= 5""")
 def _(s, d):
-    return search.hybrid(search_queries(s, d), chunk_frame(s, d), vectors(s, d), parent_frame(s, d)).withColumn("rank", F.col("rank").cast("long"))
+    parents = materialize(parent_frame(s, d))
+    return search.hybrid(materialize(search_queries(s, d, parents)), chunk_frame(s, d), vectors(s, d), parents).withColumn("rank", F.col("rank").cast("long"))
 
 @query("legacy_search", f"""with {KNN}, pp as (select shader_id as parent_id, coalesce(indexed_at, '') as at_, coalesce(case when quality_score::varchar <> 'nan' then quality_score end, 0) as quality, coalesce(tags_topic, '') as tg,
     coalesce(nullif(coalesce(algorithm_summary, ''), ''), substr(coalesce(code_image, ''), 1, 600)) as doc_text from parent_docs where shader_id is not null),
@@ -409,9 +408,11 @@ que as (select doc_id as query_id, coalesce(par.tags[1:1], []) as want from docu
 select query_id, id, round(0.5::double * rel + 0.15::double * case when len(want) > 0 then len(list_intersect(want, coalesce(tags, []))) / len(want) else 0 end, 4) as fused, rank
 from (select *, case when distance = 0 then 0 else 1 - distance end as rel, row_number() over (partition by query_id order by distance, id) as rank from nn) n join que using (query_id) join documents on doc_id = id left join par using (parent_id) where rank <= 5""")
 def _(s, d):
-    near = search.nearest(search_queries(s, d).select("query_id", "embedding"), vectors(s, d), 5)
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "parent_id").join(parent_frame(s, d).select("parent_id", "tags"), "parent_id", "left")
-    rows = near.join(search_queries(s, d).select("query_id", "want_tags"), "query_id").join(docs, "id").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    parents = materialize(parent_frame(s, d))
+    queries = materialize(search_queries(s, d, parents))
+    near = search.nearest(queries.select("query_id", "embedding"), vectors(s, d), 5)
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "parent_id").join(parents.select("parent_id", "tags"), "parent_id", "left")
+    rows = near.join(queries.select("query_id", "want_tags"), "query_id").join(docs, "id").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     rel = F.when(F.col("distance") == 0, 0.0).otherwise(1.0 - F.col("distance"))
     return rows.select("query_id", "id", F.round(0.5 * rel + 0.15 * search.tag_match("want_tags", "tags"), 4).alias("fused"), F.col("rank").cast("long").alias("rank"))
 
@@ -475,9 +476,9 @@ with r as (select shader_id, max(code_image) as a from shader_records where shad
 x as (select shader_id, {ROWSOF.format('a')} as a, {ROWSOF.format('b')} as b from r join p using (shader_id))
 select shader_id, round(case when len(a) > 0 then len(list_filter(a, lambda t: list_contains(b, t))) / len(a) else 0 end, 6) as kept from x""")
 def _(s, d):
-    a = table(s, d, "shader_records").filter("shader_id is not null and code_image is not null").groupBy("shader_id").agg(F.max("code_image").alias("a"))
-    b = table(s, d, "parent_docs").filter("code_image is not null").groupBy("shader_id").agg(F.max("code_image").alias("b"))
-    return a.join(b, "shader_id").select("shader_id", F.round(evaluation.row_retention(F.col("a"), F.col("b")), 6).alias("kept"))
+    a = table(s, d, "shader_records").filter("shader_id is not null and code_image is not null").groupBy("shader_id").agg(F.max("code_image").alias("code"))
+    b = table(s, d, "parent_docs").filter("code_image is not null").groupBy("shader_id").agg(F.max("code_image").alias("code"))
+    return evaluation.row_retention(a, b, "shader_id").select("shader_id", F.round("kept", 6).alias("kept"))
 
 query("store_counts", "select 'parents' as store, count(distinct shader_id) as n from parent_docs union all select 'chunks', count(*) from documents union all select 'vectors', count(*) from embeddings union all select 'records', count(distinct shader_id) from shader_records")(
     lambda s, d: table(s, d, "parent_docs").agg(F.countDistinct("shader_id").alias("n")).select(F.lit("parents").alias("store"), "n").unionByName(
@@ -489,10 +490,18 @@ query("store_counts", "select 'parents' as store, count(distinct shader_id) as n
 # ---- agents without a model ----
 
 G4 = tx.GAP
+HEADS = quoted(actions.DEFINED)
+
+
+def defined_sql(no: str) -> str:
+    """Names of functions whose type is none of ``no``."""
+    return f"list_filter(regexp_extract_all({CODE}, {HEADS}, 2), lambda n, i: regexp_extract_all({CODE}, {HEADS}, 1)[i] not in {no})"
+
+
 query("parse_shader", f"""
-select row_id, contains({CODE}, 'mainImage') as has_main, array_to_string(list_filter({list(actions.BUILTINS)}, lambda b: contains({CODE}, b)), ',') as builtins,
+select row_id, contains({CODE}, 'mainImage') as has_main, array_to_string({defined_sql(among(actions.NO_TYPES[:5]))}, ',') as functions, array_to_string(list_filter({list(actions.BUILTINS)}, lambda b: contains({CODE}, b)), ',') as builtins,
     array_to_string(regexp_extract_all({CODE}, {quoted(f'uniform{G4}+[a-zA-Z_][a-zA-Z0-9_]*{G4}+([a-zA-Z_][a-zA-Z0-9_]*){G4}*;')}, 1), ',') as uniforms, {LINES.format('u')} as lines from (select *, {UNIX} as u from shader_records)""")(
-    lambda s, d: table(s, d, "shader_records").select("row_id", *[(F.array_join(c, ",") if n in ("builtins", "uniforms") else c.cast("long") if n == "lines" else c).alias(n) for n, c in actions.parsed("code_image").items()]))
+    lambda s, d: table(s, d, "shader_records").select("row_id", *[(F.array_join(c, ",") if n in ("builtins", "uniforms", "functions") else c.cast("long") if n == "lines" else c).alias(n) for n, c in actions.parsed("code_image").items()]))
 query("fallback_techniques", f"""
 with a as (select row_id, lower({CODE}) as c, list_filter(coalesce(key_functions, []), lambda f: f is not null) as f from shader_records), b as (select *, lower(array_to_string(f, ' ')) as n from a),
 x as (select row_id, list_filter([case when contains(c, 'raymarch') or contains(n, 'ro') or contains(n, 'rd') then 'raymarching' end, case when len(list_filter(f, lambda t: starts_with(t, 'sd'))) > 0 then 'sdf' end,
@@ -504,10 +513,50 @@ with a as (select doc_id, coalesce(text, '') as t from documents)
 select doc_id, array_to_string(list_concat(list_concat(list_transform(regexp_extract_all(t, '不要用([\x{4e00}-\x{9fa5}A-Za-z0-9 ]{2,30})', 1), lambda x: 'avoid ' || trim(x)), list_transform(regexp_extract_all(t, '<=?[ \t]*([0-9]+)[ \t]*行', 1), lambda x: '<= ' || x || ' lines')),
     case when contains(lower(t), 'no texture') or contains(t, '无纹理') or contains(t, '不要用纹理') then ['no external textures'] else [] end), ';') as constraints from a""")(
     lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(actions.constraints("text"), ";").alias("constraints")))
+SHOWN = " or ".join(f"(effect = {quoted(e)} and {holds('c', w)})" for e, w in actions.SHOWS.items())
 query("self_critique", f"""
-with a as (select row_id, coalesce(compile_ok, false)::int as ok, {CODE} as c, list_filter(string_split_regex(lower(coalesce(tags_topic[1], '')), '[^a-z0-9]+'), lambda w: w <> '') as w from shader_records)
-select row_id, round((ok + contains(c, 'iTime')::int + len(list_filter(w, lambda x: contains(lower(c), x)))) / (len(w) + 2), 6) as score from a""")(
-    lambda s, d: table(s, d, "shader_records").select("row_id", F.round(actions.critique(F.coalesce("compile_ok", F.lit(False)), "code_image", tx.text(F.get("tags_topic", F.lit(0)))), 6).alias("score")))
+with a as (select row_id, coalesce(compile_ok, false)::int as ok, lower({CODE}) as c, lower(coalesce(description, '')) as t from shader_records),
+b as (select row_id, ok, c, {first('t', rules.EFFECTS, '')} as effect, not {holds('t', rules.STILL)} as dynamic from a)
+select row_id, round((ok + (dynamic and contains(c, 'itime'))::int + ({SHOWN})::int) / (1 + dynamic::int + (effect <> '')::int), 6) as score from b""")(
+    lambda s, d: table(s, d, "shader_records").select("row_id", F.round(actions.critique(F.coalesce("compile_ok", F.lit(False)), "code_image", rules.spec("description")["effect"], rules.spec("description")["dynamic"]), 6).alias("score")))
+NO_TYPES = among(actions.NO_TYPES)
+KEYS = ORDERED.replace("{0}", f"list_filter({defined_sql(NO_TYPES)}, lambda n: n <> 'mainImage' and n not in {NO_TYPES})") + "[1:8]"
+ANALYZED = f"(select * replace ({KEYS} as key_functions, coalesce(compile_ok, false) or ({ENTRY}) as compile_ok) from shader_records)"
+query("analyze_records", f"""
+select row_id, array_to_string(key_functions, ',') as functions, compile_ok, {QUALITY} as score, array_to_string(list_filter([{VISUAL}], lambda x: x is not null), ',') as features
+from (select *, lower(array_to_string({NOTNULL.format('tags_topic')}, ' ') || ' ' || {CODE}) as h from {SCORE.replace('shader_records', ANALYZED)})""")(
+    lambda s, d: actions.analyzed(busy(s, d, "shader_records")).select("row_id", F.array_join("key_functions", ",").alias("functions"), "compile_ok", F.col("quality_score").alias("score"), F.array_join("visual_features", ",").alias("features")))
+SLIPPED = ", ".join(f"case when regexp_matches(c, {quoted(f'{B}{w}{E}')}) then 'slip:{w}' end" for w in rules.SLIPS)
+query("validate_code", f"""
+with a as (select row_id, {CODE} as raw, {STRIPPED} as c from shader_records),
+b as (select row_id, raw, c, regexp_matches(c, {quoted(rules.STRICT)}) as sig, substr(regexp_extract(c, {quoted(rules.STRICT + '([' + chr(92) + 's' + chr(92) + 'S]*)')}, 1), 1, 4000) as body from a)
+select row_id, array_to_string(list_filter([case when not contains(raw, 'mainImage') then 'no_entry' end, case when {counted('c', '{')} <> {counted('c', '}')} then 'braces' end, case when {counted('c', '(')} <> {counted('c', ')')} then 'parens' end,
+    case when regexp_matches(c, {quoted(f'{B}(?:sampler2D|samplerCube|iChannel[0-9]){E}')}) then 'external' end, {SLIPPED}, case when contains(c, 'mainImage') and not sig then 'signature' end], lambda x: x is not null), ',') as errors,
+    case when sig and not regexp_matches(body, {quoted(f'[{chr(92)}p{{L}}{chr(92)}p{{N}}_]{G}*=')}) then 'no_assignment' else '' end as warnings from b""")(
+    lambda s, d: busy(s, d, "shader_records").select("row_id", *[F.array_join(c, ",").alias(n) for n, c in rules.validated("code_image").items()]))
+BARE = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+FENCELESS = rf"case when starts_with({BARE}, '```') then regexp_replace(regexp_replace(regexp_replace({BARE}, '^```[a-zA-Z]*\s*', ''), '\s*```$', ''), '^\s+|\s+$', '', 'g') else {BARE} end"
+query("reply_json", f"""
+with a as (select doc_id, {FENCELESS} as t from documents), b as (select doc_id, t, strpos(t, '{{') as i, length(t) - strpos(reverse(t), '}}') + 1 as j from a)
+select doc_id, case when starts_with(t, '{{') and ends_with(t, '}}') then t when i > 0 and contains(t, '}}') and i < j then substr(t, i, j - i + 1) else t end as json from b""")(
+    lambda s, d: table(s, d, "documents").select("doc_id", actions.json_of("text").alias("json")))
+EXPL = quoted(actions.EXPLAINED)
+query("reply_parts", rf"""
+with a as (select doc_id, {FENCELESS} as t from documents)
+select doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_extract(t, {EXPL}, 1), '^[ \t]+', '') || regexp_replace(regexp_extract(t, {EXPL}, 2), '\n[ \t]*//[ \t]?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '[ \t\r]+$', '')), lambda x: x <> ''), chr(10)) as explanation,
+    length(regexp_replace(regexp_replace(t, {EXPL}, ''), '^\s+|\s+$', '', 'g')) as code_chars from a""")(
+    lambda s, d: table(s, d, "documents").select("doc_id", actions.explanation("text").alias("explanation"), F.length(actions.code_of("text")).cast("long").alias("code_chars")))
+query("messages_by_type", "select user_id, event_id from events where event_type = 'purchase'")(lambda s, d: messages.having(table(s, d, "events"), "event_type", "purchase").select("user_id", "event_id"))
+
+
+@query("prompt_references")
+def _(s, d):
+    """The prompt's references of every record: its latest five documents as blocks within the budget."""
+    docs = table(s, d, "documents").filter("parent_id is not null").select("parent_id", "doc_id", "text")
+    top = messages.latest(docs, "parent_id", ["doc_id"], 5).groupBy("parent_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text")), asc=False).alias("b"))
+    return top.select("parent_id", F.array_join(actions.prompt_blocks(F.transform("b", lambda x: x["text"])), "\n\n").alias("references"))
+
+
 query("base_colour", f"""
 with a as (select row_id, list_filter(list_transform(regexp_extract_all({CODE}, {quoted(actions.VEC3)}, 1), lambda v: list_transform(string_split(v, ','), lambda x: trim(regexp_replace(x, '[ \t\r\n\f]', '', 'g'))::double)),
     lambda p: len(list_filter(p, lambda x: x > 1)) = 0 and len(list_filter(p, lambda x: x > 0)) > 0) as f from shader_records)

@@ -100,7 +100,9 @@ def test_evaluation(spark):
     assert [col(evaluation.fix_efficiency(F.lit(i))) for i in (0, 1, 2, 5)] == [0, 1, pytest.approx(2 / 3), 0]
     cases = spark.createDataFrame([("t", True, None, 1.0)], "task string, ok boolean, metrics array<struct<name:string,score:double,threshold:double,success:boolean,reason:string,is_llm_judge:boolean>>, elapsed_ms double")
     assert evaluation.report(cases).first().n_passed == 1, "an ok case without metrics passes"
-    assert col(evaluation.row_retention(F.lit("a\n b \n\nc"), F.lit("b\nc"))) == pytest.approx(2 / 3)
+    assert col(evaluation.fix_efficiency(F.lit(1), 0)) == 1 and col(evaluation.fix_efficiency(F.lit(2), 0)) == 0
+    pairs = [spark.createDataFrame([("k", c), ("none", e), (side, "x")], "key string, code string") for side, c, e in (("a", "a\n b \n\nc\na", ""), ("b", "b\nc\nb", "z"))]
+    assert {r.key: r.kept for r in evaluation.row_retention(*pairs, "key").collect()} == {"k": 0.5, "none": 0.0}
 
 
 def test_lineage_ends_cycles_and_gaps(spark):
@@ -128,13 +130,13 @@ def test_nearest_against_brute_force(spark):
 
 def test_fusion_edges(spark):
     w = search.Weights()
-    queries = spark.createDataFrame([(1, "glow", ["t"])], "query_id long, text string, want_tags array<string>")
+    queries = spark.createDataFrame([(1, "glow", ["t"], ["glow"])], "query_id long, text string, want_tags array<string>, query_terms array<string>")
     parents = spark.createDataFrame([("a", ["t"], 1.0, "glow"), ("b", ["u"], 0.0, "x")], "parent_id string, tags array<string>, quality double, doc_text string")
     vec = spark.createDataFrame([(1, "a", -0.5), (1, "orphan", 0.9)], "query_id long, parent_id string, rel double")
     key = spark.createDataFrame([(1, "b", 2.0)], "query_id long, parent_id string, score double")
     got = {r.parent_id: r for r in search.fuse(vec, key, parents, queries, w).collect()}
     assert set(got) == {"a", "b"} and got["a"].vec == 0.0 and got["a"].fused == pytest.approx(0.25) and got["b"].bm25 == 1.0 and got["b"].fused == pytest.approx(0.25)
-    many = spark.createDataFrame([(1, f"p{i:02d}", 1 - i / 100, "q", "d") for i in range(31)], "query_id long, parent_id string, fused double, query_text string, doc_text string")
+    many = spark.createDataFrame([(1, f"p{i:02d}", 1 - i / 100, ["q"], ["d"]) for i in range(31)], "query_id long, parent_id string, fused double, query_terms array<string>, doc_terms array<string>")
     out = {r.parent_id: r.fused for r in search.rerank(many, w).collect()}
     assert out["p30"] == pytest.approx(0.70) and out["p29"] == pytest.approx(0.3 * 0.71) and out["p00"] == pytest.approx(1.0)
 
@@ -144,9 +146,9 @@ def test_actions(spark):
 
     row = spark.createDataFrame([("vec3(1.,2.,0.) vec3(.5, 0.25,1.0) vec3(0,0,0) uniform float a;", ["sdBox", "noise1"], "不要用纹理 <= 30 行", 0.5)], "c string, f array<string>, w string, q double").select(
         actions.base_colour("c").alias("rgb"), actions.fallback_techniques("c", "f").alias("t"), actions.constraints("w").alias("k"), actions.parsed("c")["uniforms"].alias("u"), actions.masked("w").alias("m"),
-        actions.critique(F.lit(True), "c", F.lit("2d a")).alias("s"), actions.reference_context("f", "f", "q", "w", "c").alias("x")).first()
+        actions.critique(F.lit(True), "c", F.lit("sdf"), F.lit(True)).alias("s"), actions.reference_context("f", "f", "q", "w", "c").alias("x")).first()
     assert row.rgb == [0.5, 0.25, 1.0] and row.t == ["sdf", "noise"] and row.k == ["avoid 纹理", "<= 30 lines", "no external textures"] and row.u == ["a"]
-    assert row.m == "不要用纹******(len=13)" and row.s == pytest.approx(0.5) and row.x.startswith("[meta] tags=sdBox, noise1 | visual=sdBox, noise1 | quality=0.50\n\n[algorithm_summary]")
+    assert row.m == "不要用纹******(len=13)" and row.s == pytest.approx(1 / 3) and row.x.startswith("[meta] tags=sdBox, noise1 | visual=sdBox, noise1 | quality=0.50\n\n[algorithm_summary]")
 
 
 def test_reference_context_has_functions(spark):
@@ -159,3 +161,44 @@ def test_reference_context_has_functions(spark):
     main = "[context: mainImage]\nvoid mainImage(out vec4 c, in vec2 f) { c = vec4(sd(f)); }"
     assert row.x == "[meta] tags=t | visual=t\n\n" + main + "\n\n[context: key_function sd]\nfloat sd(vec2 p) { if (p.x > 0.) { return 1.; } return 0.; }"
     assert row.y == "[meta] tags=t | visual=t\n\n[matched_function: sd]\nFunction float sd\n\n[matched_overview: overview]\nabout\n\n" + main
+
+
+def test_replies_and_prompts(spark):
+    from lucerna.operators import actions
+
+    texts = ['```json\n{"a": 1}\n```', 'so: {"a": {"b": 2}} ok', "none", None, "} {", "```glsl\n// EXPLAIN: one\n//  two \n//\nfloat x; // y\n```", "// other\nfloat x;"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", actions.json_of("t").alias("j"), actions.explanation("t").alias("e"), actions.code_of("t").alias("c")).orderBy("i").collect()
+    assert [r.j for r in rows[:5]] == ['{"a": 1}', '{"a": {"b": 2}}', "none", "", "} {"]
+    assert rows[5].e == "one\n two" and rows[5].c == "float x; // y" and rows[6].e == "" and rows[6].c == "// other\nfloat x;"
+
+    def plain(blocks, budget=3600):
+        cut = lambda t, n: t if len(t) <= n else t[:n].rstrip() + "\n// ..."
+        out, used = [], 0
+        for i, b in enumerate(blocks):
+            b = cut(b, 1600 if i == 1 else 1000)
+            if used + len(b) > budget:
+                b = cut(b, max(900, budget - used))
+            if b.strip():
+                out.append(b)
+                used += len(b)
+            if used >= budget:
+                break
+        return out
+
+    cases = [[], ["a"], [" ", "b"], ["x" * 3000] * 6, ["x y " * 200, "z" * 1700, "q" * 950, "w" * 20, "v" * 990], ["k" * 999] * 5]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, b array<string>")
+    assert [list(r.p) for r in df.select("i", actions.prompt_blocks(F.col("b")).alias("p")).orderBy("i").collect()] == [plain(c) for c in cases]
+
+
+def test_validation_and_analysis(spark):
+    from lucerna.operators import actions, rules
+
+    good = "float sdBox(vec2 p) { return 1.; }\nfloat sdBox(float q) { return 2.; }\nvoid mainImage(out vec4 c, in vec2 f) { c = vec4(sdBox(f)); }"
+    codes = [good, "void mainImage(vec4 c) { lerp(saturate(frac(x)) }", "// mainImage lerp\n", "", None, "void mainImage(out vec4 c, in vec2 f) { }"]
+    rows = spark.createDataFrame([(i, c, None, None, None, None, None, [], None) for i, c in enumerate(codes)], "i int, code_image string, compile_ok boolean, render_ok boolean, likes int, reference_only boolean, has_external_assets boolean, tags_topic array<string>, key_functions array<string>")
+    got = [(list(r.errors), list(r.warnings)) for r in rows.select("i", *[c.alias(n) for n, c in rules.validated("code_image").items()]).orderBy("i").collect()]
+    assert got == [([], []), (["parens", "slip:lerp", "slip:saturate", "slip:frac", "signature"], []), ([], []), (["no_entry"], []), (["no_entry"], []), ([], ["no_assignment"])]
+    out = actions.analyzed(rows).orderBy("i").collect()
+    assert list(out[0].key_functions) == ["sdBox"] and out[4].quality_score == pytest.approx(0.1) and not out[4].compile_ok and list(out[4].key_functions) == []
+    frag = actions.analyzed(rows.withColumn("code_image", F.concat(F.coalesce("code_image", F.lit("")), F.lit(" fragColor")))).orderBy("i").first()
+    assert frag.compile_ok and frag.quality_score == pytest.approx(0.6)

@@ -15,9 +15,9 @@ def test_materialize_keeps_rows_and_types(spark):
 def test_salted_join_equals_a_join(spark):
     left = spark.range(200).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 10)).alias("k"), F.col("id").alias("v"))
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), (None, 4)], "k string, w int")
-    for how in ("inner", "left"):
+    for how, hot in (("inner", 4), ("left", 4), ("inner", 1000), ("left", 25)):
         want = sorted(map(tuple, left.join(right, "k", how).select("k", "v", "w").collect()), key=str)
-        got = sorted(map(tuple, runtime.salted_join(left, right, "k", "v", how, 4).select("k", "v", "w").collect()), key=str)
+        got = sorted(map(tuple, runtime.salted_join(left, right, "k", "v", how, hot).select("k", "v", "w").collect()), key=str)
         assert got == want
 
 
@@ -55,3 +55,14 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         runtime.shared_dir(Session)
+
+
+def test_release_deletes_the_tables(spark, tmp_path):
+    import os
+
+    runtime.materialize(spark.range(3))
+    folder = runtime.scratch(spark).removeprefix("file:")
+    assert os.listdir(folder)
+    runtime.release(spark)
+    assert not os.path.exists(folder)
+    assert runtime.materialize(spark.range(3)).count() == 3

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from lucerna.sources import loaders
 from lucerna.streaming import ingest
 
@@ -75,3 +77,37 @@ def test_incremental_ingest(spark, tmp_path):
     run()
     run()
     assert sorted((r.k, r.v) for r in ingest.current_version(spark, target).collect()) == [("a", "y"), ("b", "new"), ("c", "c")]
+
+
+def test_a_broken_manifest_loses_nothing(spark, tmp_path):
+    target = str(tmp_path / "table")
+    rows = [(f"k{i}", 1, "old") for i in range(50)]
+    batch = lambda *r: spark.createDataFrame(list(r), "k string, at int, v string")
+    ingest.merge_batch(spark, batch(*rows), 0, target, "k", ["at"])
+    before = ingest.manifest(spark, target)
+    (tmp_path / "table/manifests/00000002").mkdir()  # a crash while writing: no _SUCCESS
+    assert ingest.manifest(spark, target) == (3, before[1]) and ingest.current_version(spark, target).count() == 50
+    ingest.merge_batch(spark, batch(("k1", 2, "new"), ("z", 1, "z"), (None, 1, "none")), 1, target, "k", ["at"])
+    got = {r.k: r.v for r in ingest.current_version(spark, target).collect()}
+    assert len(got) == 52 and got["k1"] == "new" and got["k2"] == "old"
+    after = ingest.manifest(spark, target)[1]
+    assert sum(after[p] != f for p, f in before[1].items()) <= 3, "only touched parts are written anew"
+    for f in (tmp_path / "table/manifests/00000003").glob("part-*"):
+        f.write_text("{broken")
+    for f in (tmp_path / "table/manifests/00000003").glob(".*.crc"):
+        f.unlink()
+    with pytest.raises(Exception):
+        ingest.merge_batch(spark, batch(("k3", 3, "x")), 2, target, "k", ["at"])
+
+
+def test_distinct_stream(spark, tmp_path):
+    import datetime
+
+    source = str(tmp_path / "in")
+    at = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([("a", at, 1), ("a", at, 1), ("b", at, 2)], "k string, at timestamp, v int").coalesce(1).write.parquet(source + "/1")
+    spark.createDataFrame([("a", at, 1), ("c", at, 3)], "k string, at timestamp, v int").coalesce(1).write.parquet(source + "/2")
+    stream = spark.readStream.schema("k string, at timestamp, v int").option("maxFilesPerTrigger", 1).parquet(source + "/*")
+    q = ingest.distinct_stream(stream, "k", "at").writeStream.format("memory").queryName("seen_once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.k for r in spark.table("seen_once").collect()) == ["a", "b", "c"]
