@@ -124,5 +124,5 @@ def category_topics(records: DataFrame, topics: DataFrame) -> DataFrame:
     exact = topics.groupBy(F.col("topic_name").alias("category")).agg(F.min("topic_key").alias("by_name"))
     alias = topics.select(F.explode("aliases").alias("low"), "topic_key").groupBy(F.lower("low").alias("low")).agg(F.min("topic_key").alias("by_alias"))
     rows = records.select("row_id", F.explode(F.array_distinct(F.filter(_list("categories"), lambda c: c.isNotNull()))).alias("category"))
-    return (rows.join(F.broadcast(exact), "category", "left").withColumn("low", F.lower("category")).join(F.broadcast(alias), "low", "left")
+    return (rows.join(exact, "category", "left").withColumn("low", F.lower("category")).join(alias, "low", "left")
             .select("row_id", "category", F.coalesce("by_name", "by_alias", F.lit("")).alias("topic_key")))

@@ -67,43 +67,43 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = N
     """(query_id, id, distance, rank): exact cosine neighbours of every query among all vectors, itself left out.
 
     Queries and vectors are packed into blocks; each pair of blocks is a few matrix products that keep ``k``
-    rows per query (and those equal to the last), and the final rank sees those of every block. ``same``: a column of both sides that
-    must be equal (a filter before the search). Null and zero vectors have no neighbours.
+    rows per query (and those equal to the last), and the final rank sees those of every block. ``same``: a column of
+    both sides that must be equal; blocks are made within its values, so that others are never compared. Null values
+    of it, and null and zero vectors, have no neighbours.
     """
+    label = F.col(same) if same else F.lit(0)
+    usable = lambda df, key: df.filter(F.col("embedding").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), label.alias("same"), "embedding")
+    owned, asked = usable(vectors, "id"), usable(queries, "query_id")
+    wide = owned.groupBy("same").agg(F.ceil(F.count("*") / block).cast("int").alias("wide"))
+    long = max(1, -(-queries.count() // 1024))
 
-    def packed(df: DataFrame, key: str, name: str, blocks: int) -> DataFrame:
-        part = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long")
-        rows = df.filter(F.col("embedding").isNotNull() & F.col(key).isNotNull()).select(F.struct(F.col(key).alias("id"), (F.col(same) if same else F.lit(0)).alias("same"), "embedding").alias("r"), part.alias(name))
-        return rows.groupBy(name).agg(F.collect_list("r").alias(name + "_rows"))
+    def packed(df: DataFrame, parts, by: str, ids: str, data: str) -> DataFrame:
+        rows = df.withColumn(by, F.pmod(F.xxhash64("id"), parts).cast("int")).groupBy("same", by).agg(F.collect_list(F.struct("id", "embedding")).alias("r"))
+        return rows.select("same", by, F.transform("r", lambda x: x["id"]).alias(ids), F.flatten(F.transform("r", lambda x: x["embedding"])).cast("array<double>").alias(data))
 
-    wide = max(1, -(-vectors.count() // block))
-    long = max(1, -(-queries.count() // 1024))
-    left = packed(queries, "query_id", "qb", long).select("qb_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long"))).alias("vb"))
-    right = packed(vectors, "id", "vb", wide)
+    left = packed(asked, F.lit(long), "qb", "qids", "qdata").join(wide, "same").select("same", "qids", "qdata", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("vb"))
+    right = packed(owned.join(wide, "same"), F.col("wide"), "vb", "vids", "vdata")
 
-    def matrix(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        m = np.array([np.asarray(r["embedding"], np.float64) for r in rows])
+    def matrix(ids, data) -> tuple[np.ndarray, np.ndarray]:
+        m = data.reshape(len(ids), -1)
         norm = np.sqrt((m * m).sum(1, keepdims=True))
         ok = norm[:, 0] > 0
-        return np.array([r["id"] for r in rows])[ok], np.array([r["same"] for r in rows])[ok], m[ok] / norm[ok]
+        return ids[ok], m[ok] / norm[ok]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for qs, vs in zip(batch["qb_rows"], batch["vb_rows"]):
-                qid, qsame, q = matrix(qs)
-                vid, vsame, v = matrix(vs)
+            for qids, qdata, vids, vdata in zip(batch["qids"], batch["qdata"], batch["vids"], batch["vdata"]):
+                (qid, q), (vid, v) = matrix(qids, qdata), matrix(vids, vdata)
                 if not len(qid) or not len(vid):
                     continue
                 for at in range(0, len(qid), 256):
                     ids, d = qid[at : at + 256], np.round(1.0 - q[at : at + 256] @ v.T, 9)
                     d[ids[:, None] == vid[None, :]] = np.inf
-                    if same:
-                        d[qsame[at : at + 256, None] != vsame[None, :]] = np.inf
                     last = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
                     row, col = np.nonzero((d <= last) & np.isfinite(d))
                     yield pd.DataFrame({"query_id": ids[row], "id": vid[col], "distance": d[row, col]})
 
-    near = left.join(right, "vb").select("qb_rows", "vb_rows").mapInPandas(run, "query_id long, id long, distance double")
+    near = left.join(right, ["same", "vb"]).select("qids", "qdata", "vids", "vdata").mapInPandas(run, "query_id long, id long, distance double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
     return ranked.filter(F.col("rank") <= k)
 
