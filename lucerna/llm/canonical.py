@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.plans.runtime import salted_join, task_count
+from lucerna.plans.runtime import materialize, salted_join, task_count
 
 #: Letters of other scripts that look like Latin ones, and digits typed for letters.
 LOOKALIKES = str.maketrans("аеорсухіѕјкмтнвԁԛԝһӏɡοαερνι", "aeopcyxisjkmthbdqwhlgoaepvi")
@@ -178,7 +178,7 @@ def typed_values(records: DataFrame, reference: DataFrame) -> DataFrame:
 
 def found(records: DataFrame, reference: DataFrame) -> DataFrame:
     """p1_found: (shader_id, raw_value, topic_key). Each distinct value is matched once and joined back salted."""
-    typed = typed_values(records, reference)
+    typed = materialize(typed_values(records, reference))
     mapped = map_values(typed.select("raw_value").distinct(), reference)
     return salted_join(typed, mapped, "raw_value", "shader_id").select("shader_id", "raw_value", "topic_key")
 

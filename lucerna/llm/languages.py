@@ -94,9 +94,11 @@ def grams(text: str) -> list[str]:
 
 
 def file_sentences(records: DataFrame) -> DataFrame:
-    """(shader_id, code_id, n_chars, hash, chars, text): one row per distinct sentence of a row's code."""
+    """(shader_id, code_id, n_chars, hash, chars, text): one row per distinct sentence of a row's code. The text comes
+    with the first row of a hash in each task only."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: set[bytes] = set()
         for batch in batches:
             rows = []
             for sid, code in zip(batch["shader_id"], batch["code_image"]):
@@ -104,7 +106,9 @@ def file_sentences(records: DataFrame) -> DataFrame:
                 own: Counter = Counter()
                 for passage in passages(code):
                     own.update(sentences(passage))
-                rows += [(sid, code_id, len(code), hashlib.md5(s.encode("utf-8", "replace")).digest(), n * len(s), s) for s, n in own.items()]
+                for s, n in own.items():
+                    key = hashlib.md5(s.encode("utf-8", "replace")).digest()
+                    rows.append((sid, code_id, len(code), key, n * len(s), None if key in told or told.add(key) else s))
             if rows:
                 yield pd.DataFrame(rows, columns=["shader_id", "code_id", "n_chars", "hash", "chars", "text"])
 
@@ -182,8 +186,9 @@ def shares(records: DataFrame, documents: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"hash": batch["hash"], "lang": [classify(t, model) for t in batch["text"]]})
 
-    labels = own.groupBy("hash").agg(F.min("text").alias("text")).mapInPandas(label, "hash binary, lang string")
-    weighed = salted_join(own.select("shader_id", "code_id", "n_chars", "hash", "chars").distinct(), labels, "hash", "shader_id")
+    labels = own.filter("text is not null").groupBy("hash").agg(F.min("text").alias("text")).mapInPandas(label, "hash binary, lang string")
+    weights = materialize(own.select("shader_id", "code_id", "n_chars", "hash", "chars").distinct())
+    weighed = salted_join(weights, labels, "hash", "shader_id")
     by = weighed.filter("lang <> ''").groupBy("shader_id", "code_id", "n_chars", "lang").agg(F.sum("chars").alias("chars"))
     return by.groupBy("shader_id", "lang").agg(F.max(F.struct((F.col("chars") / F.col("n_chars")).alias("share"), "chars", "n_chars")).alias("m")).select(
         "shader_id", "lang", "m.chars", "m.n_chars", "m.share")

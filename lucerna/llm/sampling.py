@@ -34,7 +34,7 @@ def cells(records: DataFrame, topics: DataFrame) -> DataFrame:
         "shader_id", source.alias("source"), F.when(F.size("tags_topic") > 0, F.element_at("tags_topic", 1)).alias("first_tag"))
     one = rows.groupBy("shader_id").agg(F.max(F.when(F.col("source").isNotNull() & F.col("first_tag").isNotNull(), F.struct("source", "first_tag"))).alias("c"))
     one = one.select("shader_id", F.col("c.source").alias("source"), F.col("c.first_tag").alias("first_tag"))
-    return one.join(F.broadcast(names), "first_tag", "left").select(
+    return one.join(names, "first_tag", "left").select(
         "shader_id", F.when(F.col("topic_key").isNotNull(), F.col("source")).alias("source"), "topic_key")
 
 
