@@ -13,6 +13,13 @@ def _joined(c: str, sep: str = ", "):
     return F.array_join(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t: t.isNotNull()), sep)
 
 
+def document_text(code_chars: int = 1500):
+    """The text of a record that is embedded: its labelled fields that are not empty, and the beginning of its code."""
+    part = lambda label, c: F.when(c != "", F.concat(F.lit(label), c))
+    return F.concat_ws("\n\n", F.concat(F.lit("Name: "), text("name")), part("Author: ", text("username")), part("Description: ", text("description")), part("Topics: ", _joined("tags_topic")), part("Raw tags: ", _joined("tags_raw")),
+                       part("Code excerpt:\n", F.substring(text("code_image"), 1, code_chars)))
+
+
 def text_chunks(records: DataFrame) -> DataFrame:
     """(chunk_id, parent_id, kind, title, text) of the kinds overview, algorithm and full_code."""
     line = lambda label, c: F.when(c != "", F.concat(F.lit(label + ": "), c))

@@ -60,6 +60,25 @@ def recall(want: Column, got: Column) -> Column:
     return F.when(F.size(w) > 0, F.round(F.size(F.array_intersect(w, got)) / F.size(w), 4)).otherwise(0.0)
 
 
+def retrieval_cases(cases: DataFrame, hits: DataFrame, least: float = 0.15, threshold: float = 0.5) -> DataFrame:
+    """(query_id, metric, score, threshold, success) of retrieval cases.
+
+    cases(query_id, negative), hits(query_id, fused). A negative case asks for what is not there: it scores 1 if nothing
+    is found. The others score the relevancy of their hits.
+    """
+    found = hits.groupBy("query_id").agg(F.collect_list("fused").alias("scores"))
+    rows = cases.join(found, "query_id", "left").withColumn("scores", F.coalesce("scores", F.array().cast("array<double>")))
+    score = F.when(F.col("negative"), F.when(F.size("scores") == 0, 1.0).otherwise(0.0)).otherwise(relevancy(F.array_sort("scores"), least))
+    rows = rows.select("query_id", F.when(F.col("negative"), "Negative Rejection").otherwise("Retrieval Relevancy").alias("metric"), F.round(score + 1e-9, 6).alias("score"), F.when(F.col("negative"), 1.0).otherwise(threshold).alias("threshold"))
+    return rows.withColumn("success", F.col("score") >= F.col("threshold"))
+
+
+def pass_gate(cases: DataFrame, least: float) -> DataFrame:
+    """One row: cases, their pass rate, and whether it is at least ``least``; without cases the rate is 0."""
+    agg = case_scores(cases).agg(F.count("*").alias("n_cases"), F.coalesce(F.avg(F.col("passed").cast("int")), F.lit(0.0)).alias("rate"))
+    return agg.select("n_cases", F.round("rate", 6).alias("pass_rate"), (F.col("rate") >= least).alias("ok"))
+
+
 def code_lines(c) -> Column:
     """Stripped lines that are not blank."""
     lines = F.transform(F.split(F.regexp_replace(c, r"\r\n|\r", "\n"), "\n"), lambda x: F.regexp_replace(x, r"^[ \t]+|[ \t]+$", ""))

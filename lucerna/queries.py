@@ -196,6 +196,10 @@ union all select shader_id, 'algorithm', algorithm_summary from shader_records w
 union all select shader_id, 'full_code', substr({CODE}, 1, 2000) from shader_records where regexp_replace(substr({CODE}, 1, 2000), '[\\s\\p{{Z}}]+', '', 'g') <> '')
 select concat_ws('::', p, kind) as chunk_id, p as parent_id, kind, kind as title, text from a""")(
     lambda s, d: chunking.text_chunks(table(s, d, "shader_records")))
+RAW_TAGS = f"array_to_string({NOTNULL.format('tags_raw')}, ', ')"
+query("document_texts", f"""select row_id, concat_ws(chr(10) || chr(10), 'Name: ' || coalesce(name, ''), case when coalesce(username, '') <> '' then 'Author: ' || username end, case when coalesce(description, '') <> '' then 'Description: ' || description end,
+    case when {TAGS} <> '' then 'Topics: ' || {TAGS} end, case when {RAW_TAGS} <> '' then 'Raw tags: ' || {RAW_TAGS} end, case when {CODE} <> '' then 'Code excerpt:' || chr(10) || substr({CODE}, 1, 1500) end) as text from shader_records""")(
+    lambda s, d: table(s, d, "shader_records").select("row_id", chunking.document_text().alias("text")))
 query("chunk_functions")(lambda s, d: chunking.function_chunks(busy(s, d, "shader_records")))
 query("code_sections")(lambda s, d: table(s, d, "shader_records").filter("code_image is not null").select("row_id", F.explode(split_sections("code_image")).alias("title", "code")))
 query("comment_strip", f"""select row_id, length(regexp_replace(regexp_replace({CODE}, '/\\*[\\s\\S]*?\\*/', '', 'g'), '//[^\\n]*', '', 'g')) as chars from shader_records""")(
@@ -401,6 +405,18 @@ def _(s, d):
     parents = materialize(parent_frame(s, d))
     return search.hybrid(materialize(search_queries(s, d, parents)), chunk_frame(s, d), vectors(s, d), parents).withColumn("rank", F.col("rank").cast("long"))
 
+@query("retrieval_cases", HYBRID + """, top as (select query_id, round(fused, 4) as fused from (select *, row_number() over (partition by query_id order by fused desc, parent_id) as rank from al where fused >= 0.15) where rank <= 3),
+g as (select query_id, len(want) = 0 as negative, coalesce(n, 0) as n, coalesce(good, 0) as good, coalesce(s, 0) as s from que left join (select query_id, count(*) as n, count_if(fused >= 0.15) as good, sum(fused) as s from top group by 1) using (query_id)),
+r as (select query_id, negative, round(case when negative then case when n = 0 then 1 else 0 end when n > 0 then 0.5::double * good / n + 0.5::double * least(1, s / n) else 0 end + 1e-9::double, 6) as score from g)
+select query_id, case when negative then 'Negative Rejection' else 'Retrieval Relevancy' end as metric, score, case when negative then 1 else 0.5 end::double as threshold, score >= case when negative then 1 else 0.5 end as success from r""")
+def _(s, d):
+    parents = materialize(parent_frame(s, d))
+    queries = materialize(search_queries(s, d, parents))
+    hits = search.hybrid(queries, chunk_frame(s, d), vectors(s, d), parents, top_k=3)
+    cases = queries.filter(F.trim(tx.text("text")) != "").select("query_id", (F.size("want_tags") == 0).alias("negative"))
+    return evaluation.retrieval_cases(cases, hits)
+
+
 @query("legacy_search", f"""with {KNN}, pp as (select shader_id as parent_id, coalesce(indexed_at, '') as at_, coalesce(case when quality_score::varchar <> 'nan' then quality_score end, 0) as quality, coalesce(tags_topic, '') as tg,
     coalesce(nullif(coalesce(algorithm_summary, ''), ''), substr(coalesce(code_image, ''), 1, 600)) as doc_text from parent_docs where shader_id is not null),
 par as (select parent_id, list_filter(string_split(tg, ','), lambda t: t <> '') as tags from (select *, row_number() over (partition by parent_id order by at_ desc, quality desc, tg desc, doc_text desc) as r from pp) where r = 1),
@@ -448,6 +464,10 @@ query("perf_gate", """
 with a as (select coalesce(task, '') as task, avg((not coalesce(ok, false))::int) as f, coalesce(quantile_cont(elapsed_ms, 0.95), 0) as p from eval_cases group by 1)
 select task, round(f, 6) as fail_ratio, round(p, 4) as p95, f <= 0.02 and p <= 5000 as ok from a""")(
     lambda s, d: evaluation.gate(table(s, d, "eval_cases")))
+query("pass_gate", f"""
+with a as (select coalesce(ok, false) and len(list_filter({MET}, lambda m: not coalesce(m.success, false))) = 0 as passed from eval_cases)
+select count(*) as n_cases, round(coalesce(avg(passed::int), 0), 6) as pass_rate, coalesce(avg(passed::int), 0) >= 0.5 as ok from a""")(
+    lambda s, d: evaluation.pass_gate(table(s, d, "eval_cases"), 0.5))
 query("json_props", "select event_type, count(*) as n, sum(json_extract_string(props, '$.k')::bigint)::bigint as k from events group by 1")(
     lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k")))
 query("latest_messages", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r <= 5")(

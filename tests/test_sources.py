@@ -111,3 +111,24 @@ def test_distinct_stream(spark, tmp_path):
     q = ingest.distinct_stream(stream, "k", "at").writeStream.format("memory").queryName("seen_once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.k for r in spark.table("seen_once").collect()) == ["a", "b", "c"]
+
+
+def test_named_tables(spark, tmp_path):
+    from lucerna.operators import search
+    from lucerna.sources import store
+
+    target = str(tmp_path / "chunks")
+    frame = lambda *r: spark.createDataFrame(list(r), "chunk_id string, at int, text string")
+    with pytest.raises(ValueError):
+        store.load(spark, target)
+    store.upsert(frame(("a", 1, "one"), ("a", 2, "two"), ("b", 1, "three")), target, "chunk_id", ["at"])
+    store.upsert(frame(("b", 0, "four"), ("c", 0, "five")), target, "chunk_id", ["at"])
+    got = store.load(spark, target)
+    assert got.columns == ["chunk_id", "at", "text"] and sorted((r.chunk_id, r.text) for r in got.collect()) == [("a", "two"), ("b", "four"), ("c", "five")]
+    index = search.postings(got)
+    store.save_postings(index, str(tmp_path / "postings"))
+    assert sorted(map(tuple, store.load_postings(spark, str(tmp_path / "postings")).collect())) == sorted(map(tuple, index.collect()))
+    store.reset(spark, target)
+    store.reset(spark, target)
+    with pytest.raises(ValueError):
+        store.load(spark, target)
