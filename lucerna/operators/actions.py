@@ -138,6 +138,38 @@ def prompt_blocks(blocks, budget: int = 3600, least: int = 900) -> Column:
     return F.aggregate(rows, start, add, lambda x: x["kept"])
 
 
+def section_prompt(sections, whole: int = 16000, each: int = 4000) -> Column:
+    """The sections of a code (map of title to text) under their titles. All of it up to ``whole`` characters; beyond,
+    sections are cut to ``each`` until ``whole`` is used, and the others are named only."""
+    rows = F.map_entries(sections)
+    total = F.aggregate(rows, F.lit(0), lambda n, r: n + F.length(r["value"]))
+    head = lambda r: F.concat(F.lit("\n--- section: "), r["key"], F.lit(" ---\n"))
+    start = F.struct(F.lit(0).alias("used"), F.lit("").alias("out"))
+
+    def add(so_far, r):
+        cut = F.when(F.length(r["value"]) > each, F.concat(F.substring(r["value"], 1, each), F.lit("\n/* cut */"))).otherwise(r["value"])
+        named = F.struct(so_far["used"].alias("used"), F.concat(so_far["out"], head(r), F.lit("/* left out */\n")).alias("out"))
+        return F.when(so_far["used"] >= whole, named).otherwise(F.struct((so_far["used"] + F.length(cut)).alias("used"), F.concat(so_far["out"], head(r), cut, F.lit("\n")).alias("out")))
+
+    plain = F.array_join(F.transform(rows, lambda r: F.concat(head(r), r["value"], F.lit("\n"))), "")
+    return F.when(total <= whole, plain).otherwise(F.aggregate(rows, start, add, lambda x: x["out"]))
+
+
+def remapped(log, lines: Column, before: int) -> Column:
+    """A compiler's log with the lines of the wrapped file told as lines of the code: ``before`` lines stand before it,
+    and it has ``lines``. Both notations of drivers, 0(12) and 0:12:, are read."""
+    def told(n):
+        n = n.cast("long")
+        return F.when(n <= before, F.concat(n.cast("string"), F.lit("(prologue)"))).when(n - before <= lines, F.concat(n.cast("string"), F.lit("(user:"), (n - before).cast("string"), F.lit(")"))).otherwise(F.concat(n.cast("string"), F.lit("(epilogue)")))
+
+    out = text(log)
+    for mark, left, right in ((r"\b0\(([0-9]{1,9})\)", "0(", ")"), (r"\b0:([0-9]{1,9}):", "0:", ":")):
+        between, numbers = F.split(out, mark), F.regexp_extract_all(out, F.lit(mark), F.lit(1))
+        own = F.transform(numbers, lambda n, i: F.concat(F.lit(left), told(n), F.lit(right), F.get(between, i + 1)))
+        out = F.concat(F.get(between, F.lit(0)), F.array_join(own, ""))
+    return out
+
+
 def base_colour(code) -> Column:
     """The last vec3 literal with all parts in 0..1 and one above 0, as three numbers; grey if there is none."""
     parts = F.transform(F.regexp_extract_all(text(code), F.lit(VEC3), F.lit(1)), lambda v: F.transform(F.split(v, ","), lambda x: F.trim(F.regexp_replace(x, r"[\r\n\f]", "")).cast("double")))

@@ -569,6 +569,22 @@ select doc_id, array_to_string(list_filter(list_transform(string_split(regexp_re
 query("messages_by_type", "select user_id, event_id from events where event_type = 'purchase'")(lambda s, d: messages.having(table(s, d, "events"), "event_type", "purchase").select("user_id", "event_id"))
 
 
+query("section_prompts")(lambda s, d: table(s, d, "shader_records").filter("code_image is not null").select("row_id", actions.section_prompt(split_sections("code_image")).alias("prompt")))
+WRAPPED = 15  # lines that the host puts before a code
+@query("line_remap", f"""
+with r as (select shader_id, max(length({CODE}) - length(replace({CODE}, chr(10), '')) + 1) as u from shader_records where shader_id is not null group by 1),
+a as (select doc_id, coalesce(text, '') as t, coalesce(u, 1) as u from documents left join r on shader_id = parent_id where kind = 'compile_log'),
+b as (select doc_id, u, string_split_regex(t, '\\b0\\([0-9]{{1,9}}\\)') as p, list_transform(regexp_extract_all(t, '\\b0\\(([0-9]{{1,9}})\\)', 1), lambda n: n::bigint) as n from a),
+c as (select doc_id, u, p[1] || coalesce(list_aggregate(list_transform(n, lambda x, i: '0(' || case when x <= {WRAPPED} then x || '(prologue)' when x - {WRAPPED} <= u then x || '(user:' || (x - {WRAPPED}) || ')' else x || '(epilogue)' end || ')' || p[i + 1]), 'string_agg', ''), '') as t from b),
+e as (select doc_id, u, string_split_regex(t, '\\b0:[0-9]{{1,9}}:') as p, list_transform(regexp_extract_all(t, '\\b0:([0-9]{{1,9}}):', 1), lambda n: n::bigint) as n from c)
+select doc_id, p[1] || coalesce(list_aggregate(list_transform(n, lambda x, i: '0:' || case when x <= {WRAPPED} then x || '(prologue)' when x - {WRAPPED} <= u then x || '(user:' || (x - {WRAPPED}) || ')' else x || '(epilogue)' end || ':' || p[i + 1]), 'string_agg', ''), '') as log from e""")
+def _(s, d):
+    code = tx.text("code_image")
+    lines = table(s, d, "shader_records").filter("shader_id is not null").groupBy(F.col("shader_id").alias("parent_id")).agg(F.max(tx.count_of(code, "\n") + 1).alias("lines"))
+    logs = table(s, d, "documents").filter("kind = 'compile_log'").join(lines, "parent_id", "left")
+    return logs.select("doc_id", actions.remapped("text", F.coalesce("lines", F.lit(1)), WRAPPED).alias("log"))
+
+
 @query("prompt_references")
 def _(s, d):
     """The prompt's references of every record: its latest five documents as blocks within the budget."""

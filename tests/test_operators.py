@@ -202,3 +202,16 @@ def test_validation_and_analysis(spark):
     assert list(out[0].key_functions) == ["sdBox"] and out[4].quality_score == pytest.approx(0.1) and not out[4].compile_ok and list(out[4].key_functions) == []
     frag = actions.analyzed(rows.withColumn("code_image", F.concat(F.coalesce("code_image", F.lit("")), F.lit(" fragColor")))).orderBy("i").first()
     assert frag.compile_ok and frag.quality_score == pytest.approx(0.6)
+
+
+def test_section_prompts_and_lines(spark):
+    from lucerna.operators import actions
+
+    maps = [(["globals", "f"], ["float x;", "y" * 20]), (["a", "b", "c", "d"], ["1" * 30, "2" * 9, "3" * 30, "4"])]
+    df = spark.createDataFrame(maps, "k array<string>, v array<string>").select(F.map_from_arrays("k", "v").alias("s"))
+    got = [r.p for r in df.select(actions.section_prompt(F.col("s"), 35, 20).alias("p")).collect()]
+    assert got[0] == "\n--- section: globals ---\nfloat x;\n\n--- section: f ---\n" + "y" * 20 + "\n"
+    assert got[1] == "\n--- section: a ---\n" + "1" * 20 + "\n/* cut */\n\n--- section: b ---\n222222222\n\n--- section: c ---\n/* left out */\n\n--- section: d ---\n/* left out */\n"
+    log = "0(5) : error x\n0(13) : warning\nERROR: 0:40: y 10(3) 0:13: z"
+    assert spark.range(1).select(actions.remapped(F.lit(log), F.lit(10), 12).alias("l")).first().l == "0(5(prologue)) : error x\n0(13(user:1)) : warning\nERROR: 0:40(epilogue): y 10(3) 0:13(user:1): z"
+    assert spark.range(1).select(actions.remapped(F.lit(None), F.lit(10), 12).alias("l")).first().l == ""
