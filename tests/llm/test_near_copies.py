@@ -86,3 +86,20 @@ def test_codes_grown_from_one_base(spark):
     sets = {s: plain(c) for s, c in rows}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
     assert len(want) > 500 and {tuple(r) for r in n.found(spark.createDataFrame(rows, "shader_id string, code_image string")).collect()} == want
+
+
+@pytest.mark.parametrize("own, shared", [(82, 40), (80, 46), (70, 52)])
+def test_pairs_that_share_mostly_common_lines(spark, own, shared):
+    """All codes share 118 tokens; those of a pair share some of their other tokens too."""
+    rng = random.Random(own)
+    word = lambda: f"t{rng.randrange(10**9)}"
+    common = " ".join(word() for _ in range(118))
+    rows = []
+    for i in range(100):
+        both = [word() for _ in range(shared)]
+        rows += [(f"{side}{i:03d}", " ".join([common, *both, *(word() for _ in range(own - shared))])) for side in "ab"]
+    rows += [(f"x{i:03d}", " ".join([common, *(word() for _ in range(own))])) for i in range(100)]
+    sets = {s: plain(c) for s, c in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    got = {tuple(r) for r in n.found(spark.createDataFrame(rows, "shader_id string, code_image string")).collect()}
+    assert len(want) == 100 and got <= want and len(got) >= 99
