@@ -27,7 +27,7 @@ INLINE = re.compile(r"`[^`\n]{1,200}`")
 QUOTED = re.compile(r"""(?<!\w)'[^'\n]{1,80}'(?!\w)|"[^"\n]{1,120}"|[“„«][^”“»\n]{1,120}[”“»]|[「『][^」』\n]{1,80}[」』]""")
 QUOTE = re.compile("['\"“„«「『]")
 #: What every open field has at least one of.
-SIGN = re.compile(r"[{<\[@%#$]|__|\((?:[Aa]dd|ADD|[Ii]nsert|INSERT|[Ff]ill in|[Ee]nter|ENTER) ")
+SIGN = re.compile(r"[{<\[@%#$]|__|\((?i:add|insert|fill in|enter) ")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n]+")
 _NAME = r"[A-Za-z][A-Za-z0-9_.-]*(?: [A-Za-z][A-Za-z0-9_.-]*){0,3}"
 #: Forms of an open field.
@@ -37,7 +37,11 @@ FIELD = re.compile(
     r"|\[\[\s*[A-Za-z_][\w ]*\]\]|(?<![\w{$])\{[A-Za-z_]\w*\}|(?<!\w)__[A-Za-z][A-Za-z0-9_]*__(?!\w)|(?<!\w)%[A-Za-z][A-Za-z0-9_]+%(?!\w)|(?<!\w)#[A-Za-z][A-Za-z0-9_]+#(?!\w)|_{4,}",
     re.I)
 DEFAULT = re.compile(r"(?:tbd|todo|fixme|x{3,}|\?{3,}|to be (?:added|filled in|written|done|announced)|coming soon|(?:your|insert|enter)\b.{0,40}\bhere|placeholder)[.!]?", re.I)
-LABEL = re.compile(r"[^\w]{0,12}([A-Z][a-z]+(?: [a-z]+){0,2}):\s*(.*)")
+#: Defaults within a sentence, capitals alone as small letters are words of languages, or as all that follows a colon.
+STAND_INS = ("TBD", "TODO", "FIXME", "XXX")
+STAND_IN = re.compile(r"(?<![\w{$#%<\[@./-])(?:TBD|TODO|FIXME|X{3,})(?![\w(}#%>\]@-]|\s*:)")
+STATED = re.compile(rf"(?<=[:：])\s*(?:{DEFAULT.pattern})\s*\Z", re.I)
+LABEL = re.compile(r"[^\w]{0,12}([^\W\d_a-z][^\W\d_]+(?: [^\W\d_]+){0,2}) ?[:：]\s*(.*)")
 #: A sentence with one of these speaks about such fields.
 ABOUT = re.compile(r"\b(?:macros?|predefined|placeholders?|templates?|syntax|prints?|printf|logger|escaped?|variables?|fill in|filled|fills|directive|modulo)\b", re.I)
 #: The usual filler words; the vocabulary is widened from the corpus.
@@ -65,15 +69,13 @@ AGAIN = re.compile(r"\b(?:come back|try again|reload|sign in|log in|wait a momen
 STATUS = re.compile(rf"(?:error|fehler|erreur|errore|erro|błąd|ошибка)[ :-]{{0,2}}[45]\d\d\b|(?<![\w(])[45]\d\d[ :-]{{1,2}}(?:{STATE.pattern}|{THING.pattern})", re.I)
 #: Code, which holds names and gaps of its own.
 CODE = re.compile(r"[;{}=<>]|\w\(|//|\A\d+\(")
-#: Every message has one of these beginnings, in lower case.
-BEGINNINGS = (
-    "error not found denied forbidden authori unavailable available expire timed time-out timeout remove delete exist missing fail could cannot can't many wrong maintenance allowed bad internal fehler nicht verweigert abgelaufen gelöscht verschoben "
-    "wartung erreur introuvable refus interdit indisponible no deneg caduc não negad expir erro non negat scadut imposs nie odmowa błąd wygas ошибк не запрещ недоступ истек удал 不存在 找不到 删除 错误 拒绝 无法 过期 失败 見つ 存在しません エラー 拒否 できません "
-    "失敗 期限 script cookie browser webgl captcha robot skript navigateur navegador przegl skrypt браузер скрипт 浏览器 脚本 ブラウザ クッキー スクリプト come again reload sign log wait erneut réessay intént tente riprova spróbuj попробуй 重试 再試行 再度"
-).split()
-#: The same for a whole text: beginnings that most texts have are replaced by the phrases that the messages have.
-PHRASES = {"found": ("not found",), "could": ("could not be", "couldn't be"), "cannot": ("cannot be",), "again": ("try again",), "wrong": ("went wrong",), "allowed": ("not allowed",), "available": ("not available",), "many": ("too many",), "come": ("come back",), "wait": ("wait a moment",)}
-RARE_BEGINNINGS = tuple(x for w in BEGINNINGS if len(w) > 4 or not w.isascii() or w in ("fail", "many", "erro", "come", "wait") for x in PHRASES.get(w, (w,)))
+#: Every message has one of these parts, in lower case; _ is a space.
+PARTS = tuple(w.replace("_", " ") for w in (
+    "error not_found denied forbidden authori unavailable not_available expire timed time-out timeout remove delete not_exist n't_exist longer_exist missing fail could_not_be couldn't_be cannot_be can't_be too_many went_wrong maintenance not_allowed bad internal "
+    "fehler nicht_gefunden nicht_verfügbar nicht_erreichbar verweigert abgelaufen gelöscht verschoben wartung erreur introuvable refus interdit indisponible no_se_ no_encontrad no_existe no_disponible deneg caduc não_ negad expir erro "
+    "non_trovat non_esiste non_disponibile negat scadut imposs nie_znaleziono nie_istnieje nie_można nie_udało odmowa błąd wygas ошибк не_найден не_существует запрещ недоступ истек удал 不存在 找不到 删除 错误 拒绝 无法 过期 失败 見つ 存在しません エラー 拒否 できません "
+    "失敗 期限 script cookie browser webgl captcha robot skript navigateur navegador przegl skrypt браузер скрипт 浏览器 脚本 ブラウザ クッキー スクリプト "
+    "come_back try_again reload sign_in log_in wait_a_moment erneut réessay intént tente riprova spróbuj попробуй 重试 再試行 再度").split())
 WORDS = re.compile("|".join((THING.pattern, BROWSER.pattern, STATE.pattern)), re.I)
 WORDS = re.compile(r"[^\W\d_]+")
 WIDE = re.compile(r"[぀-ヿ㐀-䶿一-鿿]{4}")
@@ -161,20 +163,26 @@ def hash_of(word: str) -> int:
 def is_message(s: str) -> bool:
     """A sentence that says what is the matter with a page, or what the reader's browser needs."""
     low = s.lower()
-    if not any(w in low for w in BEGINNINGS):
+    if not any(w in low for w in PARTS):
         return False
-    thing, state, browser = THING.search(s), STATE.search(s), BROWSER.search(s)
-    return bool((state and (thing or browser or STATUS.search(s))) or (browser and NEED.search(s)) or (AGAIN.search(s) and (thing or state)))
+    state, browser = STATE.search(s), BROWSER.search(s)
+    if state:
+        return bool(browser or THING.search(s) or AGAIN.search(s) or STATUS.search(s))
+    return bool((browser and NEED.search(s)) or (AGAIN.search(s) and THING.search(s)))
 
 
-def message_keys(text: str) -> set[int]:
+def message_keys(text: str, parts: list[str] | None = None) -> set[int]:
     """Template keys of a page of messages; none if fewer than half of its sentences are messages.
 
     Marks of HTML, and titles, links and footers of under four words, do not count. The words of all messages, those
     with digits masked, are the template; so are they without the first or last one or two, and wide letters alone, as
-    people put things around them.
+    people put things around them. ``parts`` are the text's segments if they are known.
     """
-    parts = segments(MARKUP.sub("\n", text) if "<" in text else text)
+    if parts is None or "<" in text:
+        parts = segments(MARKUP.sub("\n", text) if "<" in text else text)
+    whole = "\n".join(parts).lower()
+    if not QUOTE.search(whole) and not any(w in whole for w in PARTS):
+        return set()  # a quotation taken out may join the words around it, so such texts are read
     messages: list[str] = []
     others = 0
     for s in parts:
@@ -197,37 +205,71 @@ def page_words(sentence: str) -> list[str]:
     return WORDS.findall(re.sub(r"\w*\d\w*", "0", sentence.lower()))
 
 
+def filler_part(tokens: list[str], own: int, filler: frozenset[str]) -> set[tuple[str, str]]:
+    """Word pairs of the filler in a sentence whose last ``own`` words follow its label, if it has one.
+
+    All pairs if most words are filler. Else those of runs of five words on, which hold the usual phrase or are the
+    usual words alone, and of any run with the phrase that is all there is.
+    """
+    if len(tokens) >= 4 and sum(w in filler for w in tokens) >= 0.8 * len(tokens):
+        return set(zip(tokens, tokens[1:]))
+    pairs: set[tuple[str, str]] = set()
+    run: list[str] = []
+    for w in [*tokens[len(tokens) - own :], ""]:
+        if w in filler:
+            run.append(w)
+            continue
+        told = set(zip(run, run[1:]))
+        if ("lorem", "ipsum") in told and len(run) >= min(5, own) or len(run) >= 5 and LATIN.issuperset(run):
+            pairs |= told
+        run = []
+    return pairs
+
+
 def evidence(doc_id: int, text: str, filler: frozenset[str]) -> list[tuple[str, int, int]]:
     """(kind, template key, fill key) of everything in a text that may make it a case.
 
     Kinds: 'open' field or default in a slot, 'copy' the same with its field as part of the template and the text as
     fill, 'bare' variable name or gap in a slot, 'fill' ordinary content of a labelled slot, 'blank' none, 'slot' a
     template to look for elsewhere, 'left' the token and the tokens before it, 'filler' pair of words of filler and 'page'
-    message, both with the document as fill.
+    message or lone default, both with the document as fill. In a sentence that speaks about fields a field counts like
+    a bare name, and only if none of the words that say so are in its template.
     """
     out: list[tuple[str, int, int]] = []
     low = text.lower()
     filled = not filler.isdisjoint(WORDS.findall(low))
     signed, bared = SIGN.search(text) is not None, BARE.search(text) is not None or BLANK.search(text) is not None
-    parts = segments(text) if signed or bared or filled or ":" in text else []
-    for k, s in enumerate(parts):
-        label = LABEL.fullmatch(s) if ":" in s else None
+    stood = any(w in text for w in STAND_INS)
+    parts = segments(text)
+    for k, s in enumerate(parts if signed or bared or filled or stood or ":" in text or "：" in text else []):
+        label = LABEL.fullmatch(s) if ":" in s or "：" in s else None
         slot = key64("label:" + label[1]) if label else None
         got = False
         forms = [("open", FIELD)] if signed and SIGN.search(s) else []
         if bared and not CODE.search(s):
             forms += [("bare", BARE), ("bare", BLANK)]
-        if forms and not ABOUT.search(s):
+        if stood and STAND_IN.search(s) and not CODE.search(s):
+            forms.append(("bare", STAND_IN))
+        if label is None and (":" in s or "：" in s) and STATED.search(s) and not CODE.search(s):
+            forms.append(("bare", STATED))
+        if forms:
             bare = unquoted(s)
+            about = ABOUT.search(FIELD.sub(" ", s)) is not None
             for kind, form in forms:
+                if about and form is not FIELD:
+                    continue
                 for m in form.finditer(bare):
                     field = key64("".join(m.group().split()))
                     left, key = field_slot(bare, m.start(), m.end())
+                    right = tuple(TOKEN.findall(bare[m.end() :])[:SIDE])
+                    if about:
+                        if ABOUT.search(" ".join(left + right)):
+                            continue
+                        kind = "bare"
                     if slot is not None and kind == "open":
                         out.append((kind, slot, field))
                         got = True
                     if kind == "open":  # open fields may tell each other by less
-                        right = tuple(TOKEN.findall(bare[m.end() :])[:SIDE])
                         out += [(kind, near, field) for near in (template(left[-1:], right[:1], True), template((), right)) if near is not None]
                     if key is not None:
                         out += [(kind, key, field), ("slot", key, field), ("left", hash_of(left[-1]) if left else NOTHING, hash_of(" ".join(left)))]
@@ -239,10 +281,11 @@ def evidence(doc_id: int, text: str, filler: frozenset[str]) -> list[tuple[str,
                 out.append(("open" if DEFAULT.fullmatch(own) else "fill" if own else "blank", slot, key64(own)))
         if filled:
             tokens = [w.lower() for w in WORDS.findall(unquoted(s))]
-            if len(tokens) >= 4 and sum(w in filler for w in tokens) >= 0.8 * len(tokens):
-                out += [("filler", key64(f"filler\0{a}\0{b}"), doc_id) for a, b in set(zip(tokens, tokens[1:]))]
-    if any(w in low for w in RARE_BEGINNINGS):
-        out += [("page", key, doc_id) for key in message_keys(text)]
+            if pairs := filler_part(tokens, len(WORDS.findall(unquoted(label[2]))) if label else len(tokens), filler):
+                out += [("filler", key64(f"filler\0{a}\0{b}"), doc_id) for a, b in pairs]
+    if DEFAULT.fullmatch(text.strip()):
+        out.append(("page", key64("default\0" + text.strip().lower()), doc_id))
+    out += [("page", key, doc_id) for key in message_keys(text, parts)]
     return out
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from lucerna.llm import residue as r
@@ -96,3 +98,56 @@ def test_long_pages_count_if_repeated(spark):
     talk = "The old site answered page not found when an id was wrong. " + (REAL + " ") * 4
     texts = [html, html, cookies, cookies, talk, talk, html.replace("page", "file").replace("server", "machine")]
     assert sorted(x.doc_id for x in r.found(frame(spark, texts)).collect()) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("page", ["502 Bad Gateway", "Please sign in to access this page.", "Log in to view the content of this site.", "Página no encontrada.", "Pagina non trovata.", "Strona nie istnieje.", "Contenido no disponible."])
+def test_messages_of_short_words_are_read(page):
+    assert {k for kind, k, _ in r.evidence(1, page, r.LATIN) if kind == "page"} == r.message_keys(page) != set()
+
+
+def test_pages_of_short_words(spark):
+    pages = ["502 Bad Gateway", "Please sign in to access this page.", "Página no encontrada.", "Strona nie istnieje."]
+    assert sorted(x.doc_id for x in r.found(frame(spark, pages * 2 + [REAL, "Log in one step, a bad page in the other. " + REAL])).collect()) == list(range(8))
+
+
+def test_words_of_a_field_do_not_veto_it(spark):
+    texts = ["Made by (FILL IN NAME HERE) of ours. " + REAL, "Made by Ann of ours. " + REAL, "Name: (Fill in title later)", "Name: fog", "Welcome, {{ template_variable }} of old. {{ template }} came first.", "Welcome, Ann of old. Bob came first.",
+             "Sent by {{ user }} in May, with a template. " + REAL, "Sent by Ann in May, with love. " + REAL, "Sent by Bob in May, or June. " + REAL, "The macro __LINE__ is predefined. " + REAL, "The macro ABC is predefined. " + REAL, "The macro foo is predefined. " + REAL]
+    assert sorted(x.doc_id for x in r.found(frame(spark, texts)).collect()) == [0, 2, 4, 6]
+
+
+def test_defaults_beyond_ascii_labels_and_within_sentences(spark):
+    texts = ["Автор: TBD", "Автор: Анна", "作者：TBD", "作者：安娜", "AUTHOR: to be added", "AUTHOR: ann", "author: tbd", "author: ann", "author: bob", "Published under TBD, see below. " + REAL, "Published under zlib, see below. " + REAL,
+             "Published under MIT, see below. " + REAL, "Coming soon.", "coming soon.", "Todo es niebla. " + REAL, "Esto es todo el mar. " + REAL, "Esto es casi el mar. " + REAL, "Esto es solo el mar. " + REAL, "float a=1.; // TODO: replace a by something", "float b=1.; // fog: replace a by something"]
+    assert sorted(x.doc_id for x in r.found(frame(spark, texts)).collect()) == [0, 2, 4, 6, 9, 12, 13]
+
+
+def test_short_and_mixed_filler(spark):
+    texts = ["Title: Lorem ipsum", "Lorem ipsum.", REAL[:-1] + " lorem ipsum dolor sit amet", "The fog is thin dolor sit amet consectetur elit and moves on.", "Lorem ipsum dolor sit amet consectetur elit.", "The placeholder is lorem ipsum in an 8x8 font.", "We do sit here. " + REAL, "Do sit et al. " + REAL]
+    assert sorted(x.doc_id for x in r.found(frame(spark, texts)).collect()) == [0, 1, 2, 3, 4]
+
+
+def forms(tree):
+    """Every string that a parsed pattern matches, sets of letters by their first, open repeats once."""
+    out = [""]
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL": now = [chr(arg)]
+            case "SUBPATTERN": now = forms(arg[3])
+            case "BRANCH": now = [x for branch in arg[1] for x in forms(branch)]
+            case "IN": now = [chr(v) if str(o) == "LITERAL" else "q" for o, v in arg if str(o) != "NEGATE"]
+            case "MAX_REPEAT": now = [x for n in {arg[0], min(arg[1], arg[0] + 1)} for x in (forms(list(arg[2]) * n) if n else [""])]
+            case "AT": now = [""]
+            case other: raise ValueError(other)
+        out = [a + b for a in out for b in now]
+    return out
+
+
+@pytest.mark.parametrize("name", ["STATE", "BROWSER", "AGAIN"])
+def test_the_quick_test_passes_every_message(name):
+    found = forms(re._parser.parse(getattr(r, name).pattern, re.I))
+    assert len(found) > 10 and [x for x in found if not any(w in x.lower() for w in r.PARTS)] == []
+
+
+def test_a_quotation_may_join_a_message():
+    assert r.message_keys("The page was not\"\"found: page not'x y'found.") == set() and r.message_keys('Page not"x"found.') != set()
